@@ -5,10 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import exact_dedup, sharding
+from fathomline.llm import decontaminate, exact_dedup, records, sentencepieces, sharding, simhash
 from fathomline.llm.common import table
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is; it is looked up where it's used, never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=5, threshold=0.8)
+
+
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = records.encoded_index(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "length")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepieces.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), end=True, decoded=True)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shards(table(spark, sf_dir, "documents"), count=40)
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -19,11 +49,29 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op3_token_records": op3_token_records,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op2_decontamination": r"""
+        WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark WHERE text IS NOT NULL),
+        k AS (SELECT item_id, w, least(5, len(w)) AS k FROM w WHERE len(w) > 0),
+        items AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM k)),
+        sizes AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY 1),
+        d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
+        docs AS (
+            SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+            FROM (SELECT d.*, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT k FROM items) WHERE len(w) >= k)
+        ),
+        hits AS (SELECT doc_id, item_id, count(*) AS n_shared FROM docs JOIN items USING (k, s) GROUP BY 1, 2)
+        SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
+        FROM hits JOIN sizes USING (item_id) WHERE n_shared >= 0.8 * n_item - 1e-9
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
