@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import decontaminate, exact_dedup, records, sentencepieces, sharding, simhash
+from fathomline.llm import decontaminate, exact_dedup, langid, quality, records, secrets, sentencepieces, sharding, simhash, style_tree
 from fathomline.llm.common import table
 
 
@@ -16,6 +16,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_findings(spark))
+    return secrets.scan(table(spark, sf_dir, "documents"), model, path_col="source")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=5, threshold=0.8)
 
@@ -35,6 +40,17 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def remainder(folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    trees = langid.learn(documents.where(remainder(5) != 0))
+    return langid.predict(documents, trees).withColumn("held_out", remainder(5) == 0).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3)
 
@@ -44,16 +60,36 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def quality_field(spark: SparkSession, documents: DataFrame, sf_dir: str) -> quality.Field:
+    """The field that op8 and the pipeline score with, learnt from the labels outside the held-out fold."""
+    return quality.learn(documents, table(spark, sf_dir, "labels").where(remainder(4) != 2))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    out = quality.scores(documents, quality_field(spark, documents, sf_dir), threshold=0.7)
+    return out.withColumn("held_out", remainder(4) == 2).select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = style_tree.main_text(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_sort(table(spark, sf_dir, "documents"), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_decontamination": op2_decontamination,
     "op3_token_records": op3_token_records,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_language": op5_language,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
+    "op8_quality": op8_quality,
+    "op9_main_text": op9_main_text,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
