@@ -19,9 +19,12 @@ again under the usual commit protocol. Part files in the order of their names ha
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -61,42 +64,70 @@ def read_frame(file: bytes | memoryview, at: int) -> tuple[int | None, np.ndarra
     return None if null else doc_id, np.frombuffer(payload, f"<u{width}", offset=_ABOUT.size), at + 17 + n
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones themselves, others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: b if b in own else 256 + others.index(b) for b in range(256)}
+
+
 class Encoder:
-    """Ids of whole texts from a tokenizer file, with a cache of bounded size over the pieces between blanks.
+    """Ids of whole texts from a tokenizer file, with a cache of bounded size over the words that texts are cut into.
 
-    For a tokenizer whose normaliser and pre-tokeniser never look across white space; checked on loading.
+    Tokenizers that normalise by NFC, one blank for white space and lower case, and cut words by letters, single
+    digits and other signs, are given the words one by one; texts with anything but ASCII and Latin-1 letters are cut
+    at blanks alone. Other tokenizers get the whole texts.
     """
 
-    def __init__(self, path: str, cached: int = 250_000):
+    _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+    _OTHER = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]")
+
+    def __init__(self, path: str, cached: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.whole = self.tokenizer.encode("a b").ids != [*self.tokenizer.encode("a").ids, *self.tokenizer.encode("b").ids]
-        self.lower = not self.whole and self.tokenizer.encode("A").ids == self.tokenizer.encode("a").ids
+        about = json.loads(self.tokenizer.to_str())
+        steps = [x.get("type") for x in (about["normalizer"] or {}).get("normalizers", [])]
+        cut = (about["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        words = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        self.by_words = (
+            steps == ["NFC", "Replace", "Lowercase"]
+            and [x.get("type") for x in cut] == ["Split", "ByteLevel"]
+            and cut[0]["pattern"] == {"Regex": words}
+            and about["model"]["type"] == "BPE"
+            and not about["model"].get("ignore_merges")
+        )
+        self.special = [x["content"] for x in about["added_tokens"]]
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
         self.cached, self.cache = cached, {}
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        if self.whole:
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        cut = [self.cut(t) for t in texts]
-        cache, kind = self.cache, f"<u{self.width}"
-        new = list({p for parts in cut for p in parts if p not in cache})
-        if len(cache) + len(new) > self.cached:
-            cache.clear()
-            new = list({p for parts in cut for p in parts})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                cache[p] = np.array(e.ids, kind).tobytes()
-        return [np.frombuffer(b"".join(map(cache.__getitem__, parts)), kind) for parts in cut]
-
-    def cut(self, text: str) -> list[str]:
-        # ASCII can be lowered first; elsewhere only the tokenizer itself knows how.
-        if self.lower and text.isascii() and "<|" not in text:
-            text = text.lower()
-        return text.replace("\n", " ").split(" ")
+    def encode(self, text: str) -> np.ndarray:
+        if not self.by_words:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        plain = self._OTHER.search(text) is None and not any(x in text for x in self.special)
+        parts = self._WORD.findall(text.lower()) if plain else text.replace("\n", " ").split(" ")
+        cache, out = self.cache if plain else {}, []
+        for p in parts:
+            ids = cache.get(p)
+            if ids is None:
+                if plain:
+                    ids = [x.id for x in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))]
+                else:
+                    ids = self.tokenizer.encode(p, add_special_tokens=False).ids
+                ids = array(self.type, ids).tobytes()
+                if len(cache) >= self.cached:
+                    cache.clear()
+                if len(p) <= 48:
+                    cache[p] = ids
+            out.append(ids)
+        return np.frombuffer(b"".join(out), self.kind)
+
+    @property
+    def type(self) -> str:
+        return "H" if self.width == 2 else "I"
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -122,8 +153,7 @@ def write(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text
     def run(batch):
         e = encoder(tokenizer)
         end = np.array([] if end_id is None else [end_id], np.uint32)
-        got = e.encode_batch([t or "" for t in batch.column(1).to_pylist()])
-        out = [frame(i, np.concatenate((ids, end)), e.width) for i, ids in zip(batch.column(0).to_pylist(), got)]
+        out = [frame(i, np.concatenate((e.encode(t or ""), end)), e.width) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     # The cast keeps the bytes as they are.
