@@ -23,8 +23,15 @@ def register(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable]:
+    load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return _SQL
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    from fathomline.plans import market  # noqa: F401
