@@ -37,12 +37,17 @@ def time_frame(keys: list[str], ts: str, back_seconds: int, ahead_seconds: int =
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], ts: str, grain_seconds: int = 86_400) -> DataFrame:
-    """``df`` with ``_n``: each row's number within its key by ``order`` (whose first column is ``ts``), from 0.
+    """``df`` with ``_n``: each row's number within its key by ``order`` (whose first column is ``ts``), from 0."""
+    return ranked(df, keys, order, F.floor(micros(ts) / (grain_seconds * MICROS)))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list, grain: Column) -> DataFrame:
+    """``df`` with ``_n`` as in ``numbered``; ``grain`` grows with the order.
 
     Rows are numbered within (key, grain) and the counts of earlier grains are added; the table of counts has a row for
     each key and grain only, so no task sees a whole key.
     """
-    cut = df.withColumn("_grain", F.floor(micros(ts) / (grain_seconds * MICROS)))
+    cut = df.withColumn("_grain", grain)
     counts = cut.groupBy(*keys, "_grain").agg(F.count(F.lit(1)).alias("_rows"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_grain").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_rows")
     inside = F.row_number().over(Window.partitionBy(*keys, "_grain").orderBy(*order)) - 1
