@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.functions.numeric import ratio
+from fathomline.functions.numeric import col, ratio
 
 
 def average_rank(df: DataFrame, column: str, keys: list[str], name: str) -> DataFrame:
@@ -36,8 +36,10 @@ def average_rank(df: DataFrame, column: str, keys: list[str], name: str) -> Data
 
 def pearson(x: str | Column, y: str | Column) -> Column:
     """Correlation over a group, 0 where either doesn't vary."""
-    r = F.corr(x, y)
-    return F.when(r.isNull() | F.isnan(r), 0.0).otherwise(r)
+    both = F.when(col(x).isNotNull() & col(y).isNotNull(), 1)
+    a, b = F.when(both == 1, col(x)), F.when(both == 1, col(y))
+    d = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when(d > 1e-15, F.covar_pop(a, b) / d).otherwise(0.0)
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
@@ -121,8 +123,8 @@ def classification(df: DataFrame, predicted: Column, actual: Column, keys: list[
 
 def partial_correlation(x: str, y: str, z: str) -> Column:
     """Correlation of x and y over a group with z taken out."""
-    a, b, c = F.corr(x, y), F.corr(x, z), F.corr(y, z)
-    return (a - b * c) / F.sqrt((1 - b * b) * (1 - c * c))
+    a, b, c = pearson(x, y), pearson(x, z), pearson(y, z)
+    return ratio(a - b * c, F.sqrt((1 - b * b) * (1 - c * c)))
 
 
 def variance_ratio(df: DataFrame, q: int, keys: list[str], order: list, value: str = "ret") -> DataFrame:

@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from fathomline.plans import bars, market, stats, wallets  # noqa: F401
+    from fathomline.plans import bars, market, research, stats, wallets  # noqa: F401
