@@ -98,7 +98,7 @@ class Trees:
         self.grams, self.cost, self.contexts, self.escape = [], [], [], []
         below = None
         for k in range(ORDER + 1):
-            grams = np.unique(np.concatenate([c[k][0] for c in counts])) if k else np.arange(256, dtype=np.uint64)
+            grams = np.unique(np.concatenate([np.empty(0, np.uint64), *(c[k][0] for c in counts)])) if k else np.arange(256, dtype=np.uint64)
             contexts = np.unique(grams >> np.uint64(8))
             cost, escape = np.zeros((len(grams), n)), np.zeros((len(contexts), n))
             lower = np.full((len(grams), n), 8.0) if below is None else self._score(grams & np.uint64((1 << 8 * k) - 1), k - 1)

@@ -137,7 +137,7 @@ class Page:
                         break
             if tag == "br":
                 parts.append(" ")
-            if tag not in _INLINE and tag != "br":
+            if tag not in _INLINE and tag not in _RAW and tag != "br":
                 flush()
             raw = m[3] or m[6] or ""
             attributes = _attributes(raw) if "=" in raw or raw.strip(" /") else {}
