@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -26,7 +27,7 @@ _MARK = "▁"
 class Pieces:
     """The encoder and decoder of a SentencePiece BPE model with byte fallback and without text normalisation."""
 
-    def __init__(self, model: str, cached: int = 300_000):
+    def __init__(self, model: str, cached: int = 400_000):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -64,7 +65,9 @@ class Pieces:
                 self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.cached, self.cache = cached, {}
+        self.joins = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        # Two generations: what is used again moves to the younger one, the older one is dropped when that is full.
+        self.cached, self.cache, self.older = cached // 2, {}, {}
         self.cut = re.compile(f"{_MARK}+[^{_MARK}\n]*|[^{_MARK}\n]+|\n")
 
     def merge(self, text: str) -> list[int]:
@@ -131,22 +134,32 @@ class Pieces:
             n -= size
         return out[::-1]
 
+    def known(self, s: str) -> bytes:
+        """The ids of a segment that isn't in the younger generation of the cache."""
+        ids = self.older.get(s)
+        if ids is None:
+            cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in self.joins]
+            if cuts:
+                # No piece has these two characters side by side, so no merge goes over the place between them.
+                cache, parts = self.cache, (s[i:j] for i, j in zip([0, *cuts], [*cuts, len(s)]))
+                ids = b"".join([cache.get(p) or self.known(p) for p in parts])
+            else:
+                ids = array("i", self.segment(s)).tobytes()
+        if len(s) <= 64:
+            if len(self.cache) >= self.cached:
+                self.older, self.cache = self.cache, {}
+            self.cache[s] = ids
+        return ids
+
     def encode_bytes(self, text: str) -> bytes:
         """The ids of a whole text as little-endian 32-bit integers, without an end id."""
         if not text:
             return b""
         text = (_MARK if self.dummy_prefix else "") + text.replace(" ", _MARK)
-        cache = self.cache
+        known = self.known
         out = []
         for s in self.cut.findall(text):
-            ids = cache.get(s)
-            if ids is None:
-                ids = np.array(self.segment(s), "<i4").tobytes()
-                if len(s) <= 64:
-                    if len(cache) >= self.cached:
-                        cache.clear()
-                    cache[s] = ids
-            out.append(ids)
+            out.append(self.cache.get(s) or known(s))
         return b"".join(out)
 
     def encode(self, text: str | None, end: bool = False) -> list[int]:
