@@ -4,8 +4,9 @@ Sampled splitters range-partition the normalised bytes, an external sort inside
 to each other, full comparisons of neighbours find the runs, and one row of each run is retained.
 
 The range key is (first bytes, SHA-256, id), so a run of copies of any size is cut across several ranges by its ids
-and no task holds it whole.  Inside a range rows are sorted and compared by their full bytes.  A run that continues
-in the next range is put together from the rows at the edges of the ranges, of which there are two a range.
+and no task holds it whole. Inside a range rows are sorted by first bytes, SHA-256 and full bytes, the order that the
+ranges follow, and neighbours are compared by their full bytes. A run that continues in the next range is put together
+from the rows at the edges of the ranges, of which there are two a range.
 Only DataFrame functions are used.
 """
 
@@ -65,13 +66,14 @@ def content_sort(
         *([F.struct(*[df[c] for c in df.columns]).alias("row")] if carry else []),
     )
     sha = F.sha2("body", 256)
-    key = F.concat(F.hex(F.substring("body", 1, HEAD_BYTES)), F.lit("|"), sha, F.lit("|"), F.hex(F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    # "-" sorts before the digits, so that the key's order is that of its parts.
+    key = F.concat(F.hex(F.substring("body", 1, HEAD_BYTES)), F.lit("-"), sha, F.lit("-"), F.hex(F.coalesce(F.col("id").cast("string"), F.lit(""))))
     ranges = ranges or max(2, shuffle_partitions(spark))
     cut = splitters(rows.select(key.alias("k")), ranges)
     dealt = rows.withColumn("text_sha256", sha).withColumn("range", rank_among(cut, (key,), ("string",))).repartitionById(len(cut) + 1, F.col("range"))
 
     first = F.col("id").asc_nulls_last() if keep == "smallest" else F.col("id").desc_nulls_last()
-    line = Window.partitionBy("range").orderBy(F.col("body"), first)
+    line = Window.partitionBy("range").orderBy(F.substring("body", 1, HEAD_BYTES), "text_sha256", "body", first)
     before, after = F.lag("body").over(line), F.lead("body").over(line)
     runs = (
         dealt.withColumn("before", before)
