@@ -80,11 +80,13 @@ class Mixture:
 
 
 def fit_mixture(x: np.ndarray, k: int, rounds: int = 50, seed: int = 0) -> Mixture:
-    """Expectation maximisation on a driver-side sample, seeded; diagonal floor 1e-6."""
+    """Expectation maximisation on a driver-side sample, seeded; 1e-6 is added to variances."""
     mean, scale = x.mean(axis=0), np.where(x.std(axis=0) > 1e-12, x.std(axis=0), 1.0)
     z = (x - mean) / scale
     rng = np.random.default_rng(seed)
-    means = z[rng.choice(len(z), k, replace=False)]
+    means = z[rng.integers(len(z))][None]
+    while len(means) < k:  # each next centre is the point farthest from those there are
+        means = np.vstack((means, z[((z[:, None] - means) ** 2).sum(axis=2).min(axis=1).argmax()]))
     cov = np.stack([np.eye(z.shape[1])] * k)
     w = np.full(k, 1 / k)
     for _ in range(rounds):

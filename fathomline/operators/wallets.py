@@ -45,7 +45,7 @@ def concentration(positions: DataFrame, keys: list[str], value: str = "value_usd
         clip((2 * F.col("_ranked") - (n + 1) * total) / (n * total), 0, 1).alias("gini"),
         F.greatest(F.col("_theil") / n, F.lit(0.0)).alias("theil"),
         F.coalesce(F.col("_whales") / total, F.lit(0.0)).alias("whale_share"),
-        ratio("_whale_avg", "_retail_avg").alias("whale_avg_size_ratio"),
+        F.coalesce(ratio("_whale_avg", "_retail_avg"), F.lit(0.0)).alias("whale_avg_size_ratio"),
     )
 
 

@@ -247,11 +247,12 @@ def illiquidity_lambdas(spark, sf_dir):
     x AS (
         SELECT tid, symbol, 2 * list_avg(list_transform(ps, lambda p: abs(p - vw))) AS a, 2 * avg(direction * e) OVER {_w(99)} AS b, avg(adv) OVER {_w(94)} AS c, sum(direction * size) OVER {_w(99)} / sum(size) OVER {_w(99)} AS f
         FROM l)
-    SELECT tid, symbol, round(a, 5) AS toxic_effective_spread, round(b, 5) AS toxic_realized_spread, round(c, 4) AS toxic_adverse_selection, round(f, 6) AS toxic_flow_imbalance FROM x""",
+    SELECT tid, symbol, round(a, 5) AS toxic_effective_spread, round(b, 8) AS toxic_realized_spread, round(c, 5) AS toxic_adverse_selection, round(f, 6) AS toxic_flow_imbalance FROM x""",
 )
 def toxicity_spreads(spark, sf_dir):
     out = liquidity.spreads(trades(spark, sf_dir), 100)
-    return rounded(out.select("tid", "symbol", F.round("toxic_effective_spread", 5).alias("toxic_effective_spread"), F.round("toxic_realized_spread", 5).alias("toxic_realized_spread"), F.round("toxic_adverse_selection", 4).alias("toxic_adverse_selection"), "toxic_flow_imbalance"))
+    digits = {"toxic_effective_spread": 5, "toxic_realized_spread": 8, "toxic_adverse_selection": 5, "toxic_flow_imbalance": 6}
+    return out.select("tid", "symbol", *[F.round(c, d).alias(c) for c, d in digits.items()])
 
 
 @register("toxicity_vpin")

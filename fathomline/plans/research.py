@@ -195,11 +195,11 @@ def risk_parity(spark, sf_dir):
     "beta_neutral_weights",
     f"""WITH {_PANEL}, s AS (SELECT date, symbol, momentum - avg(momentum) OVER d AS s, volume - avg(volume) OVER d AS b FROM panel WHERE momentum IS NOT NULL WINDOW d AS (PARTITION BY date)),
     r AS (SELECT *, s - CASE WHEN coalesce(sum(b * b) OVER d, 0) <> 0 THEN sum(s * b) OVER d / sum(b * b) OVER d ELSE 0 END * b AS r FROM s WINDOW d AS (PARTITION BY date))
-    SELECT date, symbol, round(CASE WHEN sum(abs(r)) OVER (PARTITION BY date) > 1e-9 THEN r / sum(abs(r)) OVER (PARTITION BY date) ELSE 0 END, 4) AS weight FROM r""",
+    SELECT date, symbol, round(CASE WHEN sum(abs(r)) OVER (PARTITION BY date) > 1e-9 THEN r / sum(abs(r)) OVER (PARTITION BY date) ELSE 0 END, 7) AS weight FROM r""",
 )
 def beta_neutral_weights(spark, sf_dir):
     p = panel(spark, sf_dir).where("momentum IS NOT NULL")
-    return backtest.beta_neutral(p, "date", "symbol", "momentum", "volume").select("date", "symbol", F.round("weight", 4).alias("weight"))
+    return backtest.beta_neutral(p, "date", "symbol", "momentum", "volume").select("date", "symbol", F.round("weight", 7).alias("weight"))
 
 
 @register(
