@@ -72,3 +72,35 @@ def rows(keys: list[str], back: int | None = None, ahead: int = 0):
 def sequenced(df: DataFrame, keys: list[str], order: list[str], ts: str, back: int, ahead: int = 0) -> DataFrame:
     """``numbered`` and then ``row_halo``."""
     return row_halo(numbered(df, keys, order, ts), back, ahead)
+
+
+def time_sums(df: DataFrame, keys: list[str], ts: str, sums: dict[str, Column], seconds: dict[str, int]) -> DataFrame:
+    """``df`` with ``{name}_{label}``: each named Column summed over the last ``seconds`` of each label, both ends included.
+
+    A sliding frame would add up its rows again for every row. Here each row is put in twice or more, once with its
+    values and once for each label with the negative ones just after they leave the frame, and running sums over that
+    stream give all frames in one pass. Nulls count as zero.
+    """
+    d = time_halo(df.withColumn("_v", F.struct(*[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in sums.items()])), ts, max(seconds.values()))
+    t = 2 * micros(ts)
+    # kind 0 enters all frames; kind k leaves frame k, after what enters at the same time.
+    moves = [F.struct(t.alias("t"), F.lit(0).alias("kind"))] + [F.struct((t + 2 * s * MICROS + 1).alias("t"), F.lit(k).alias("kind")) for k, s in enumerate(seconds.values(), 1)]
+    row = F.struct(*[F.col(c) for c in df.columns])
+    stream = d.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_bucket", "_v", F.when(F.col("_own"), row).alias("_row"), F.explode(F.array(*moves)).alias("_m")).select("*", "_m.*")
+    w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))], "_bucket").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    step = lambda k, n: F.when(F.col("kind") == 0, F.col(f"_v.{n}")).when(F.col("kind") == k, -F.col(f"_v.{n}"))
+    made = {f"{n}_{label}": F.sum(step(k, n)).over(w) for k, label in enumerate(seconds, 1) for n in sums}
+    out = stream.withColumn("_row", F.when(F.col("kind") == 0, F.col("_row"))).withColumns(made)
+    return out.where(F.col("_row").isNotNull()).select("_row.*", *made)
+
+
+def row_sum(cumulative: str, keys: list[str], n: int, last: int = 0) -> Column:
+    """Sum over the ``n`` rows that end ``last`` rows before this one, from a column of running sums over ``rows(keys)``."""
+    w = rows(keys)
+    end = F.col(cumulative) if last == 0 else F.coalesce(F.lag(cumulative, last).over(w), F.lit(0.0))
+    return end - F.coalesce(F.lag(cumulative, n + last).over(w), F.lit(0.0))
+
+
+def running(keys: list[str]):
+    """From a bucket's first row to this one."""
+    return Window.partitionBy(*keys, "_bucket").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)

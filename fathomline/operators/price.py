@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions.numeric import clip, plogp, ratio, zscore
-from fathomline.functions.windows import drop_halo, rows, sequenced
+from fathomline.functions.windows import drop_halo, row_sum, rows, running, sequenced
 
 LN2 = math.log(2)
 
@@ -23,8 +23,13 @@ def prepared(df: DataFrame, back: int, price: str = "price", keys: tuple[str, ..
 
 
 def realized(k: list[str], n: int) -> Column:
-    """Root mean square of the last n returns (fewer while there are fewer)."""
-    return F.coalesce(F.sqrt(F.avg(F.col("ret") * F.col("ret")).over(rows(k, n - 1))), F.lit(0.0))
+    """Root mean square of the last n returns (fewer while there are fewer), from running sums ``_r2`` and ``_rc``."""
+    return F.coalesce(F.sqrt(F.greatest(ratio(row_sum("_r2", k, n), row_sum("_rc", k, n), None), F.lit(0.0))), F.lit(0.0))
+
+
+def _with_return_sums(df: DataFrame, k: list[str]) -> DataFrame:
+    r2 = F.coalesce(F.col("ret") * F.col("ret"), F.lit(0.0))
+    return df.withColumn("_r2", F.sum(r2).over(running(k))).withColumn("_rc", F.count("ret").over(running(k)).cast("double"))
 
 
 def parkinson(k: list[str], n: int, price: str = "price") -> Column:
@@ -43,26 +48,44 @@ def volatility_block(df: DataFrame, short: int = 60, long: int = 300, history: i
     """Realised volatility short and long, their ratio (1 where long is 0), Parkinson, Garman-Klass, and a z-score of the
     short one against its earlier values (120 at least, clipped at 10)."""
     k = list(keys)
-    df = prepared(df, long + history, price, keys)
+    df = _with_return_sums(prepared(df, long + history, price, keys), k)
     df = df.withColumns({"vol_returns_short": realized(k, short), "vol_returns_long": realized(k, long), "vol_parkinson": parkinson(k, long, price), "vol_garman_klass": garman_klass(k, long, price)})
-    past = rows(k, history, -1)
-    mean, std, n = F.avg("vol_returns_short").over(past), F.stddev_samp("vol_returns_short").over(past), F.count("vol_returns_short").over(past)
+    # Moments of the earlier values from running sums: a frame of this length would be added up for every row.
+    v = F.col("vol_returns_short")
+    df = df.withColumns({"_v1": F.sum(v).over(running(k)), "_v2": F.sum(v * v).over(running(k))})
+    df = df.withColumns({"_h1": row_sum("_v1", k, history, 1), "_h2": row_sum("_v2", k, history, 1)})
+    n = F.least(F.col("_n"), F.lit(history)).cast("double")
+    mean = ratio("_h1", n)
+    std = F.sqrt(F.greatest(ratio(F.col("_h2") - F.col("_h1") * mean, n - 1), F.lit(0.0)))
     df = df.withColumn("vol_ratio", ratio("vol_returns_short", "vol_returns_long", 1.0))
     df = df.withColumn("vol_zscore", F.when(n >= 120, clip(zscore("vol_returns_short", mean, std), -10, 10)).otherwise(0.0))
-    return drop_halo(df).drop("_n", "ret")
+    return drop_halo(df).drop("_n", "ret", "_r2", "_rc", "_v1", "_v2", "_h1", "_h2")
 
 
-def slope_r2(k: list[str], n: int, price: str = "price") -> tuple[Column, Column]:
-    """Least-squares slope and fit of the price on 0 .. n - 1."""
-    w = rows(k, n - 1)
-    y, x = F.col(price), F.col("_n").cast("double")
-    return F.regr_slope(y, x).over(w), F.regr_r2(y, x).over(w)
+def slope_r2(k: list[str], n: int) -> tuple[Column, Column]:
+    """Least-squares slope and fit of the price on 0 .. n - 1, from the running sums of ``_with_price_sums``."""
+    m = F.least(F.col("_n") + 1, F.lit(n)).cast("double")
+    sy, sy2, sxy = row_sum("_y1", k, n), row_sum("_y2", k, n), row_sum("_xy", k, n)
+    first = F.col("_x") - m + 1
+    sxx = m * (m * m - 1) / 12
+    cxy = sxy - first * sy - (m - 1) / 2 * sy
+    syy = sy2 - sy * sy / m
+    slope = ratio(cxy, sxx, None)
+    return slope, F.when(syy > 1e-9, F.least(cxy * cxy / (sxx * syy), F.lit(1.0))).otherwise(F.when(m > 1, 1.0))
+
+
+def _with_price_sums(df: DataFrame, k: list[str], price: str) -> DataFrame:
+    """Running sums of the price (less the bucket's first), its square, its product with the row's number, and moves."""
+    w = running(k)
+    df = df.withColumns({"_x": (F.col("_n") - F.min("_n").over(w)).cast("double"), "_y": F.col(price) - F.first(price).over(w)})
+    y, x = F.col("_y"), F.col("_x")
+    one = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0)).over(w)
+    return df.withColumns({"_y1": F.sum(y).over(w), "_y2": F.sum(y * y).over(w), "_xy": F.sum(x * y).over(w), "_up": one(F.col("ret") > 0), "_down": one(F.col("ret") < 0)})
 
 
 def monotonicity(k: list[str], n: int) -> Column:
     """Share of the more frequent direction among the moves of the last n prices; 0.5 if none moves."""
-    w = rows(k, n - 2)
-    up, down = (F.coalesce(F.sum(F.when(c, 1.0)).over(w), F.lit(0.0)) for c in (F.col("ret") > 0, F.col("ret") < 0))
+    up, down = row_sum("_up", k, n - 1), row_sum("_down", k, n - 1)
     return ratio(F.greatest(up, down), up + down, 0.5)
 
 
@@ -76,10 +99,10 @@ def trend_block(df: DataFrame, windows: tuple[int, ...] = (60, 300), ema_buffer:
     """Slope, fit and monotonicity for each window, the EMA pair (10, 50) over the buffer and its crossover in percent of
     the long one. With fewer than ``least`` prices: 0, and 0.5 for monotonicity."""
     k = list(keys)
-    df = prepared(df, max(*windows, ema_buffer), price, keys)
+    df = _with_price_sums(prepared(df, max(*windows, ema_buffer), price, keys), k, price)
     enough = F.col("_n") >= least - 1
     for n in windows:
-        slope, r2 = slope_r2(k, n, price)
+        slope, r2 = slope_r2(k, n)
         df = df.withColumns(
             {
                 f"trend_momentum_{n}": F.when(enough, F.coalesce(slope, F.lit(0.0))).otherwise(0.0),
@@ -90,7 +113,7 @@ def trend_block(df: DataFrame, windows: tuple[int, ...] = (60, 300), ema_buffer:
     df = df.withColumn("_buffer", F.collect_list(price).over(rows(k, ema_buffer - 1)))
     df = df.withColumn("trend_ema_short", F.when(enough, seeded_ema(F.col("_buffer"), 10)).otherwise(0.0)).withColumn("trend_ema_long", F.when(enough, seeded_ema(F.col("_buffer"), 50)).otherwise(0.0))
     df = df.withColumn("trend_crossover", F.col("trend_ema_short") - F.col("trend_ema_long")).withColumn("trend_crossover_norm", 100 * ratio("trend_crossover", "trend_ema_long"))
-    return drop_halo(df).drop("_n", "ret", "_buffer")
+    return drop_halo(df).drop("_n", "ret", "_buffer", "_x", "_y", "_y1", "_y2", "_xy", "_up", "_down")
 
 
 def permutation_entropy(df: DataFrame, n: int, order: int = 3, value: str = "ret", price: str = "price", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

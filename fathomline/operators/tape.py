@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions.numeric import plogp, ratio
-from fathomline.functions.windows import drop_halo, micros, rows, sequenced, time_frame, time_halo
+from fathomline.functions.windows import drop_halo, micros, rows, sequenced, time_frame, time_halo, time_sums
 
 
 def with_direction(trades: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -24,79 +24,66 @@ def with_direction(trades: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> Da
     return drop_halo(out).drop("_n")
 
 
-class Frame:
-    """Aggregates over one time frame of a halo'd tape."""
-
-    def __init__(self, keys: list[str], seconds: int):
-        self.seconds, self.w = seconds, time_frame(keys, "ts", seconds)
-
-    def count(self) -> Column:
-        return F.count(F.lit(1)).over(self.w)
-
-    def volume(self, only: Column | None = None) -> Column:
-        return F.coalesce(F.sum(F.col("size") if only is None else F.when(only, F.col("size"))).over(self.w), F.lit(0.0))
-
-    def aggressor_ratio(self) -> Column:
-        return ratio(self.volume(F.col("is_buy")), self.volume(), 0.5)
-
-    def vwap(self) -> Column:
-        return ratio(F.sum(F.col("price") * F.col("size")).over(self.w), self.volume(), None)
-
-    def average_size(self) -> Column:
-        return ratio(self.volume(), self.count())
-
-    def intensity(self) -> Column:
-        return self.count() / self.seconds
-
-    def tick_entropy(self, weight: Column | None = None) -> Column:
-        """Entropy, natural log, of {down, unchanged, up} by counts or by a weight."""
-        x = F.lit(1.0) if weight is None else weight
-        part = [F.coalesce(F.sum(F.when(F.col("change") == k, x)).over(self.w), F.lit(0.0)) for k in (-1, 0, 1)]
-        all_ = part[0] + part[1] + part[2]
-        return F.when(all_ > 0, plogp(part[0] / all_) + plogp(part[1] / all_) + plogp(part[2] / all_)).otherwise(0.0)
+def _entropy(parts: list[Column]) -> Column:
+    """Entropy, natural log, of shares; what is left below 1e-9 of a running sum is rounding."""
+    parts = [F.when(p > 1e-9, p).otherwise(0.0) for p in parts]
+    all_ = parts[0] + parts[1] + parts[2]
+    return F.when(all_ > 0, plogp(parts[0] / all_) + plogp(parts[1] / all_) + plogp(parts[2] / all_)).otherwise(0.0)
+
+
+def window_statistics(trades: DataFrame, seconds: dict[str, int], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """For each labelled window in seconds: count, volume, buy and sell volume, aggressor ratio (0.5 without volume), VWAP,
+    average size, intensity, as ``{name}_{label}``."""
+    size = F.col("size")
+    sums = {"count": F.lit(1), "volume": size, "buy_volume": F.when(F.col("is_buy"), size), "_notional": F.col("price") * size}
+    df = time_sums(trades, list(keys), "ts", sums, seconds)
+    for x, s in seconds.items():
+        c, v = F.col(f"count_{x}"), F.col(f"volume_{x}")
+        df = df.withColumns(
+            {
+                f"count_{x}": c.cast("long"),
+                f"sell_volume_{x}": v - F.col(f"buy_volume_{x}"),
+                f"aggressor_ratio_{x}": ratio(f"buy_volume_{x}", v, 0.5),
+                f"vwap_{x}": ratio(f"_notional_{x}", v, None),
+                f"avg_trade_size_{x}": ratio(v, c),
+                f"intensity_{x}": c / s,
+            }
+        ).drop(f"_notional_{x}")
+    return df
 
 
 def flow_block(trades: DataFrame, short: int = 1, medium: int = 5, long: int = 30, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """The twelve flow columns for windows of three lengths in seconds."""
-    k = list(keys)
-    s, m, g = (Frame(k, x) for x in (short, medium, long))
-    df = time_halo(trades, "ts", long)
-    df = df.withColumns(
-        {
-            "flow_count_short": s.count(),
-            "flow_count_medium": m.count(),
-            "flow_count_long": g.count(),
-            "flow_volume_short": s.volume(),
-            "flow_volume_medium": m.volume(),
-            "flow_volume_long": g.volume(),
-            "flow_aggressor_ratio_medium": m.aggressor_ratio(),
-            "flow_aggressor_ratio_long": g.aggressor_ratio(),
-            "flow_vwap": m.vwap(),
-            "flow_vwap_deviation": ratio(m.vwap() - F.col("price"), F.col("price")),
-            "flow_avg_trade_size": g.average_size(),
-            "flow_intensity": m.intensity(),
-        }
-    )
-    return drop_halo(df)
+    df = window_statistics(trades, {"short": short, "medium": medium, "long": long}, keys)
+    out = {f"flow_{n}_{x}": F.col(f"{n}_{x}") for n in ("count", "volume") for x in ("short", "medium", "long")}
+    out |= {f"flow_aggressor_ratio_{x}": F.col(f"aggressor_ratio_{x}") for x in ("medium", "long")}
+    out |= {
+        "flow_vwap": F.col("vwap_medium"),
+        "flow_vwap_deviation": ratio(F.col("vwap_medium") - F.col("price"), F.col("price")),
+        "flow_avg_trade_size": F.col("avg_trade_size_long"),
+        "flow_intensity": F.col("intensity_medium"),
+    }
+    return df.select(*trades.columns, *[c.alias(n) for n, c in out.items()])
 
 
 def tick_entropies(trades: DataFrame, windows: dict[str, int], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """``ent_tick_{name}`` and ``ent_vol_tick_{name}`` for each named window in seconds."""
-    df = time_halo(with_direction(trades, keys), "ts", max(windows.values()))
-    for name, seconds in windows.items():
-        f = Frame(list(keys), seconds)
-        df = df.withColumns({f"ent_tick_{name}": f.tick_entropy(), f"ent_vol_tick_{name}": f.tick_entropy(F.col("size"))})
-    return drop_halo(df)
+    """``ent_tick_{name}`` and ``ent_vol_tick_{name}`` for each named window in seconds: entropy of {down, unchanged, up} by
+    counts and by volume."""
+    moves = {"down": F.col("change") == -1, "same": F.col("change") == 0, "up": F.col("change") == 1}
+    sums = {f"_n_{k}": F.when(c, 1) for k, c in moves.items()} | {f"_v_{k}": F.when(c, F.col("size")) for k, c in moves.items()}
+    directed = with_direction(trades, keys)
+    df = time_sums(directed, list(keys), "ts", sums, windows)
+    made = {f"ent_{n}tick_{x}": _entropy([F.col(f"_{p}_{k}_{x}") for k in moves]) for x in windows for p, n in (("n", ""), ("v", "vol_"))}
+    return df.select(*directed.columns, *[c.alias(n) for n, c in made.items()])
 
 
 def hawkes_block(trades: DataFrame, seconds: int = 30, kick: float = 0.5, decay: float = 1.0, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Fixed-kernel self-excitation: base rate n / seconds, excitation sum of kick * exp(-decay * age) over the frame, and
     their ratio; zeros for fewer than two trades. The sum is exact: ages are taken within the frame of each trade."""
     k = list(keys)
-    f = Frame(k, seconds)
     df = time_halo(trades, "ts", seconds)
     now = micros("ts") / 1e6
-    ages = F.collect_list(micros("ts") / 1e6).over(f.w)
+    ages = F.collect_list(micros("ts") / 1e6).over(time_frame(k, "ts", seconds))
     df = df.withColumn("_times", ages).withColumn("_now", now)
     excitation = F.aggregate("_times", F.lit(0.0), lambda s, x: s + kick * F.exp(-decay * (F.col("_now") - x)))
     n = F.size("_times")
