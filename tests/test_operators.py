@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fathomline import schema
 from fathomline.functions import windows
-from fathomline.operators import alerts, backtest, bars, liquidity, offline, price, regime, stats
+from fathomline.operators import alerts, backtest, bars, discovery, execution, liquidity, offline, price, regime, signals, stats
 from fathomline.operators import algorithms as alg
 from fathomline.operators import book as books
 from fathomline.sources import readers, writers
@@ -148,7 +148,7 @@ def test_recursions(spark):
     assert np.isnan(offline.wilder(x, 3)[:2]).all() and offline.wilder(x, 3)[2:].tolist() == [2.0, pytest.approx(8 / 3)]
 
 
-TICKS = ["imbalance", "entropy", "count", "price", "imbalance_l1", "imbalance_l5", "imbalance_l10", "funding", "signed_volume", "vpin", "spread", "vwap_deviation", "innovation", "value", "trend", "volatility", "momentum_short", "momentum_long", "width", "pct", "effective", "realized"]
+TICKS = ["imbalance", "entropy", "count", "price", "imbalance_l1", "imbalance_l5", "imbalance_l10", "funding", "signed_volume", "vpin", "spread", "vwap_deviation", "innovation", "value", "trend", "volatility", "momentum_short", "momentum_long", "width", "pct", "effective", "realized", "to_mark"]
 
 
 @pytest.mark.parametrize("name", sorted(alg.REGISTRY))
@@ -244,3 +244,41 @@ def test_stream_algorithm_and_cooldown_equal_batch(spark, tape, tmp_path):
     fired = alerts.rules(tape, {"big": F.col("size") >= 8}, ["symbol", "ts"]).select("symbol", "alert", "ts")
     batch = {(r.symbol, r.ts) for r in alerts.cooldown(fired, 7200).collect()}
     assert {(r.symbol, r.ts) for r in _drain(live.cooled(_stream(spark, fired, str(tmp_path / "c"), 2), 7200, "1 hour"), "cooled")} == batch
+
+
+def test_hmm_recovers_states():
+    rng = np.random.default_rng(2)
+    states = np.repeat([0, 1, 0, 1], 100)
+    obs = np.where(rng.random(400) < 0.9, states, 1 - states)
+    model = discovery.baum_welch([obs], 2, 2, rounds=30, seed=1)
+    path = discovery.viterbi(obs, *model)
+    assert max(np.mean(path == states), np.mean(path != states)) > 0.95
+    assert discovery.hmm_forward(obs, *model) > discovery.hmm_forward(obs, np.full(2, 0.5), np.full((2, 2), 0.5), np.full((2, 2), 0.5))
+
+
+def test_spectrum_and_tendency():
+    rng = np.random.default_rng(3)
+    t = np.arange(2048)
+    f, p = signals.welch(np.sin(2 * np.pi * t / 16) + 0.1 * rng.standard_normal(2048))
+    assert abs(f[p.argmax()] - 1 / 16) < 0.02
+    flat, lumps = rng.uniform(size=(300, 2)), np.vstack([rng.normal(0, 0.02, (150, 2)), rng.normal(1, 0.02, (150, 2))])
+    assert signals.hopkins(flat) < 0.65 < signals.hopkins(lumps)
+
+
+def test_null_calibration_finds_the_planted_link(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal(2000)
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "_n": range(2000), "x": x, "y": 0.3 * x + rng.standard_normal(2000), "u": rng.standard_normal(2000)}))
+    linked, free = (signals.null_calibrated(df, "x", c, ["k"]).first() for c in ("y", "u"))
+    assert linked.z > 4 and linked.p < 0.06 and abs(free.value) < 0.1
+
+
+def test_execution_by_hand(spark):
+    fills = spark.createDataFrame([("a", 1, 1, 10.0), ("a", 2, 1, 11.0), ("a", 3, -1, 12.0), ("a", 4, 1, 9.0)], "k string, o int, s int, p double")
+    r = execution.fifo_pairs(fills, "k", "o", "s", "p").first()
+    assert (r.pairs, r.unmatched, r.pnl) == (1, 2, 2.0)
+    assert execution.no_trade_band(np.array([0.1, 1.0, 1.1, 0.2]), 0.5).tolist() == [0.0, 1.0, 1.0, 0.2]
+    p = spark.range(1).select(execution.digital_probability(F.lit(100.0), F.lit(100.0), F.lit(0.2), F.lit(1.0)).alias("p")).first().p
+    assert p == pytest.approx(0.460172, abs=1e-5)
+    z = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate([0, 2.5, 1, 0.2, 3, 5, 0])], "k string, o int, z double")
+    assert [(r.entry, r.exit, r.side, r.reason) for r in execution.pairs_trades(z, "z", "k", "o").orderBy("entry").collect()] == [(1, 3, -1, "exit"), (4, 5, -1, "stop")]
