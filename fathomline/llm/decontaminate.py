@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import defaultdict
 from functools import reduce
 
@@ -158,6 +159,17 @@ class Index:
         return out
 
 
+_LAST: dict[str, tuple[Index, _Words]] = {}
+
+
+def _index(name: str, sent, width: int, threshold: float) -> tuple[Index, _Words]:
+    """The index of a sent block; a Python process keeps the last one over its tasks."""
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Index(sent.value, width, threshold), _Words()
+    return _LAST[name]
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
     """The items in blocks of bounded size, one block at a time on the driver."""
     block, size = [], 0
@@ -186,10 +198,8 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
         sent = spark.sparkContext.broadcast(block)  # at most block_bytes and one item
 
-        def run(batch, sent=sent, state={}):
-            if not state:
-                state["index"], state["words"] = Index(sent.value, width, threshold), _Words()
-            index, cache = state["index"], state["words"]
+        def run(batch, sent=sent, name=uuid.uuid4().hex):
+            index, cache = _index(name, sent, width, threshold)
             out = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for hit in index.search(t, cache)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["id", "item_id", "n_shared", "n_item"])
