@@ -165,7 +165,7 @@ def hmm_forward(obs: np.ndarray, start: np.ndarray, trans: np.ndarray, emit: np.
 def baum_welch(sequences: list[np.ndarray], states: int, symbols: int, rounds: int = 20, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, transition and emission probabilities fitted to a bounded sample of sequences."""
     rng = np.random.default_rng(seed)
-    start, trans, emit = np.full(states, 1 / states), rng.dirichlet(np.ones(states) * 5, states), rng.dirichlet(np.ones(symbols) * 5, states)
+    start, trans, emit = np.full(states, 1 / states), 0.7 * np.eye(states) + 0.3 * rng.dirichlet(np.ones(states) * 5, states), rng.dirichlet(np.ones(symbols) * 5, states)
     for _ in range(rounds):
         s, t, e = np.full(states, 1e-3), np.full((states, states), 1e-3), np.full((states, symbols), 1e-3)
         for o in sequences:
