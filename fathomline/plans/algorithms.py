@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.windows import numbered
 from fathomline.operators import algorithms as alg
-from fathomline.operators import signals, tape
+from fathomline.operators import extras, signals, tape  # noqa: F401  (their algorithms are registered)
 from fathomline.plans.adapters import TRADES, read, rounded, trades
 from fathomline.plans.catalogue import register
 from fathomline.plans.stats import _PANEL, panel
@@ -28,7 +28,7 @@ def ticks(spark, sf_dir):
         v.alias("vwap_deviation"), F.abs(v).alias("vpin"), F.abs(v).alias("volatility"), F.abs(v).alias("width"), ((p - 100) / 100).alias("pct"),
         (F.col("size") / 100).alias("spread"), v.alias("funding"), (F.col("direction") * F.col("size")).alias("signed_volume"),
         (v * 3).alias("innovation"), p.alias("value"), v.alias("trend"), v.alias("momentum_short"), (-v).alias("momentum_long"), F.abs(v).alias("effective"), v.alias("realized"),
-        (28_800 - F.unix_seconds(F.col("ts").cast("timestamp")) % 28_800).cast("double").alias("to_mark"),
+        (28_800 - F.unix_seconds(F.col("ts").cast("timestamp")) % 28_800).cast("double").alias("to_mark"), F.col("flow_volume_short").alias("depth"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fathomline import schema
 from fathomline.functions import windows
-from fathomline.operators import alerts, backtest, bars, discovery, execution, liquidity, offline, price, regime, signals, stats
+from fathomline.operators import alerts, backtest, bars, discovery, execution, extras, liquidity, offline, price, regime, signals, stats
 from fathomline.operators import algorithms as alg
 from fathomline.operators import book as books
 from fathomline.sources import readers, writers
@@ -148,7 +148,7 @@ def test_recursions(spark):
     assert np.isnan(offline.wilder(x, 3)[:2]).all() and offline.wilder(x, 3)[2:].tolist() == [2.0, pytest.approx(8 / 3)]
 
 
-TICKS = ["imbalance", "entropy", "count", "price", "imbalance_l1", "imbalance_l5", "imbalance_l10", "funding", "signed_volume", "vpin", "spread", "vwap_deviation", "innovation", "value", "trend", "volatility", "momentum_short", "momentum_long", "width", "pct", "effective", "realized", "to_mark"]
+TICKS = ["imbalance", "entropy", "count", "price", "imbalance_l1", "imbalance_l5", "imbalance_l10", "funding", "signed_volume", "vpin", "spread", "vwap_deviation", "innovation", "value", "trend", "volatility", "momentum_short", "momentum_long", "width", "pct", "effective", "realized", "to_mark", "depth"]
 
 
 @pytest.mark.parametrize("name", sorted(alg.REGISTRY))
@@ -282,3 +282,21 @@ def test_execution_by_hand(spark):
     assert p == pytest.approx(0.460172, abs=1e-5)
     z = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate([0, 2.5, 1, 0.2, 3, 5, 0])], "k string, o int, z double")
     assert [(r.entry, r.exit, r.side, r.reason) for r in execution.pairs_trades(z, "z", "k", "o").orderBy("entry").collect()] == [(1, 3, -1, "exit"), (4, 5, -1, "stop")]
+
+
+def test_payloads_and_life_cycle(spark):
+    a = "0x" + "Ab" * 20
+    p = spark.createDataFrame([('{"leaderboardRows":[{"ethAddress":"%s","accountValue":"5.5"},{"ethAddress":"nope","accountValue":"1"}]}' % a,)], "payload string")
+    assert [(r.rank, r.wallet, r.account_value) for r in extras.roster(p).collect()] == [(1, a.lower(), 5.5)]
+    c = spark.createDataFrame([("w", '{"marginSummary":{"accountValue":"9"},"assetPositions":[{"position":{"coin":"BTC","szi":"-2","entryPx":"3"}}]}'), ("v", '{"marginSummary":{"accountValue":"1"},"assetPositions":[]}')], "wallet string, payload string")
+    assert sorted((r.wallet, r.coin, r.size, r.status) for r in extras.clearinghouse(c).collect()) == [("v", None, None, "empty"), ("w", "BTC", -2.0, "ok")]
+    assert extras.advance("proposed", "testing") == "testing"
+    with pytest.raises(ValueError):
+        extras.advance("proposed", "live")
+    assert extras.config_hash({"b": 1, "a": 2, "_meta": 3}) == extras.config_hash({"a": 2, "b": 1}) and len(extras.config_hash({})) == 16
+
+
+def test_prepared_drops_and_fills(spark):
+    df = spark.createDataFrame([(1, 1.0, float("nan"), 5.0), (2, float("nan"), float("nan"), 5.0), (3, 3.0, 1.0, 5.0), (4, 100.0, float("nan"), 5.0)], "i int, x double, gaps double, same double")
+    out, good = extras.prepared(df, ["x", "gaps", "same"], sigmas=1.0)
+    assert good == ["x"] and out.columns == ["i", "x"] and all(-1 <= r.x <= 1 for r in out.collect())
