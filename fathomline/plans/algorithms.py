@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.windows import numbered
 from fathomline.operators import algorithms as alg
-from fathomline.operators import extras, signals, tape  # noqa: F401  (their algorithms are registered)
+from fathomline.operators import extras, models, signals, tape  # noqa: F401  (their algorithms are registered)
 from fathomline.plans.adapters import TRADES, read, rounded, trades
 from fathomline.plans.catalogue import register
 from fathomline.plans.stats import _PANEL, panel

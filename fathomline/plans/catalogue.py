@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from fathomline.plans import algorithms, bars, context, discovery, extras, market, quality, research, stats, wallets  # noqa: F401
+    from fathomline.plans import algorithms, bars, context, discovery, extras, market, models, quality, research, stats, wallets  # noqa: F401

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fathomline import schema
 from fathomline.functions import windows
-from fathomline.operators import alerts, backtest, bars, discovery, execution, extras, liquidity, offline, price, regime, signals, stats
+from fathomline.operators import alerts, backtest, bars, discovery, execution, extras, liquidity, models, offline, price, regime, signals, stats
 from fathomline.operators import algorithms as alg
 from fathomline.operators import book as books
 from fathomline.sources import readers, writers
@@ -300,3 +300,33 @@ def test_prepared_drops_and_fills(spark):
     df = spark.createDataFrame([(1, 1.0, float("nan"), 5.0), (2, float("nan"), float("nan"), 5.0), (3, 3.0, 1.0, 5.0), (4, 100.0, float("nan"), 5.0)], "i int, x double, gaps double, same double")
     out, good = extras.prepared(df, ["x", "gaps", "same"], sigmas=1.0)
     assert good == ["x"] and out.columns == ["i", "x"] and all(-1 <= r.x <= 1 for r in out.collect())
+
+
+def test_run_length_falls_at_a_change():
+    a, rng = models.RunLength(), np.random.default_rng(5)
+    x = np.concatenate([rng.normal(100, 1, 150), rng.normal(120, 1, 30)])
+    out = [a.step({"value": float(v)})["alg_run_length_likeliest"] for v in x]
+    assert out[148] > 100 and out[165] < 25
+
+
+def test_gap_finds_three_clusters():
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(c, 0.1, (60, 2)) for c in (0, 3, 6)])
+    g = models.gap_statistic(x, 5, 5)
+    assert max(g, key=lambda r: r[1])[0] == 3
+
+
+def test_selection_takes_what_informs(spark):
+    rng = np.random.default_rng(7)
+    a, b, c = (rng.integers(0, 2, 2000) for _ in range(3))
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "c": c, "y": 2 * a + b}))
+    out = models.greedy_selection(df, ["a", "b", "c"], "y", 2).collect()
+    assert {r.feature for r in out} == {"a", "b"} and all(abs(r.gain - 1) < 0.05 for r in out)
+
+
+def test_bands_and_maker():
+    t = np.arange(400)
+    slow, fast = np.sin(2 * np.pi * t / 100), np.sin(2 * np.pi * t / 5)
+    assert np.allclose(models.band_passed(slow + fast, 0.1, 0.5), fast, atol=1e-6)
+    out = models.touch_maker(np.array([100.0, 98, 100, 98, 100, 102, 100]), 0.01)
+    assert out["fills"] >= 4 and out["pnl"] > 0 and models.touch_maker(np.array([]), 0.01)["pnl"] == 0
