@@ -58,11 +58,14 @@ def content_sort(
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is smallest or largest")
     spark = df.sparkSession
-    text = F.coalesce(df[text_col], F.lit(""))
-    text = normalise(text) if normalise else text
+
+    def body(text: Column) -> Column:
+        text = F.coalesce(text, F.lit(""))
+        return (normalise(text) if normalise else text).cast("binary")
+
     rows = df.select(
         df[id_col].alias("id"),
-        text.cast("binary").alias("body"),
+        body(df[text_col]).alias("body"),
         *([F.struct(*[df[c] for c in df.columns]).alias("row")] if carry else []),
     )
     sha = F.sha2("body", 256)
@@ -70,7 +73,10 @@ def content_sort(
     key = F.concat(F.hex(F.substring("body", 1, HEAD_BYTES)), F.lit("-"), sha, F.lit("-"), F.hex(F.coalesce(F.col("id").cast("string"), F.lit(""))))
     ranges = ranges or max(2, shuffle_partitions(spark))
     cut = splitters(rows.select(key.alias("k")), ranges)
-    dealt = rows.withColumn("text_sha256", sha).withColumn("range", rank_among(cut, (key,), ("string",))).repartitionById(len(cut) + 1, F.col("range"))
+    dealt = rows.withColumn("text_sha256", sha).withColumn("range", rank_among(cut, (key,), ("string",)))
+    # A carried row has its text already, so the normalised bytes are made again after the exchange.
+    dealt = (dealt.drop("body") if carry else dealt).repartitionById(len(cut) + 1, F.col("range"))
+    dealt = dealt.withColumn("body", body(F.col("row")[text_col])) if carry else dealt
 
     first = F.col("id").asc_nulls_last() if keep == "smallest" else F.col("id").desc_nulls_last()
     line = Window.partitionBy("range").orderBy(F.substring("body", 1, HEAD_BYTES), "text_sha256", "body", first)
