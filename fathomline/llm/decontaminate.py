@@ -209,7 +209,19 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     return found.select(F.col("id").alias(id_col), "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` that contain no item, with all their columns. Rows with a null id are judged by no item and stay."""
-    bad = leaks(df, benchmark, id_col, **options).select(F.col(id_col).alias("__bad")).where("__bad IS NOT NULL").distinct()
-    return df.join(bad, df[id_col].cast("long") == F.col("__bad"), "left_anti")
+def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 5, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``df`` that contain no item, with all their columns; each row is judged by its own text.
+
+    Rows are filtered where they are read, block after block, so no text is shuffled.
+    """
+    at = df.columns.index(text_col)
+    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        sent = df.sparkSession.sparkContext.broadcast(block)  # at most block_bytes and one item
+
+        def run(batch, sent=sent, name=uuid.uuid4().hex):
+            index, cache = _index(name, sent, width, threshold)
+            clean = pa.array([not index.search(t, cache) for t in batch.column(at).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.columns, schema=batch.schema).filter(clean)
+
+        df = map_texts(df, run, df.schema, text=at)
+    return df
