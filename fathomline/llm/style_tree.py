@@ -49,6 +49,8 @@ _FURNITURE_WORDS = frozenset(
     "promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored sponsors subscribe "
     "subscription toolbar topbar widget widgets".split()
 )
+#: Inside an article these name its own heading.
+_HEADINGS = frozenset(("header", "banner", "masthead"))
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _MAIN = frozenset(("article", "main"))
 
@@ -72,7 +74,9 @@ def _furniture(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
     if tag in ("html", "body") or tag in _MAIN:
         return False
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return any(w.lower() in _FURNITURE_WORDS for w in _WORDS.findall(named))
+    # Words of a name by its case and hyphens, and the name written as one word.
+    words = {w.lower() for w in _WORDS.findall(named)} | {re.sub(r"[^a-z0-9]", "", w) for w in named.lower().split()}
+    return not words.isdisjoint(_FURNITURE_WORDS - _HEADINGS if in_main else _FURNITURE_WORDS)
 
 
 def _label(tag: str, attributes: dict[str, str]) -> str:

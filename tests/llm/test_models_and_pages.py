@@ -103,6 +103,8 @@ CASES = [
     ("<form><label>q</label><input></form><ul><li>one<li>two</ul>", "one two"),
     ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"),
     ("<article><header><h1>H</h1></header><p>p</p></article><header>site</header>", "H p"),
+    ("<article><div class='entry-header'><h1>H</h1></div><p>p</p><div class='side-bar'>s</div><div id='shareBox'>t</div></article>", "H p"),
+    ("<div class='siteHeader'>x</div><div class='sideBar'>y</div><p>z</p>", "z"),
     ("a < b and c > d", "a < b and c > d"),
     ("<p title='a > b'>quoted</p>", "quoted"),
     ("<p>cut off <b>here", "cut off here"),
