@@ -26,6 +26,8 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 #: Shingles hashed at once, to bound the memory that a very long text takes.
 _AT_ONCE = 200_000
 _LAST = 2**63 - 1
+#: Ids that may be broadcast, at 8 bytes each.
+GONE = 500_000
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -138,8 +140,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """The rows of ``df`` that stay: of each component the one with the smallest id.
 
-    Rows that share that id stay together. Rows with a null id stay if no row of their component has an id.
+    Rows that share an id stay or go together, and stay if any of them is its component's smallest. Rows with a null id
+    can't be told apart and stay. The ids that go are written and counted: up to GONE of them are broadcast, beyond that
+    the texts are shuffled once to meet them.
     """
     got = near_duplicates(df, id_col, text_col, width)
-    stays = got.groupBy("component_id").agg(F.lit(1).alias("one")).select(F.coalesce("component_id", F.lit(_LAST)).alias("__stays"))
-    return df.join(stays, F.coalesce(df[id_col].cast("long"), F.lit(_LAST)) == F.col("__stays"), "left_semi")
+    goes = got.groupBy(F.col(id_col).alias("__goes")).agg(F.max(F.col(id_col) == F.col("component_id")).alias("least")).where("__goes IS NOT NULL AND NOT least").select("__goes")
+    goes = written(goes, "simhash-gone")
+    goes = F.broadcast(goes) if goes.count() <= GONE else goes
+    return df.join(goes, df[id_col].cast("long") == F.col("__goes"), "left_anti")

@@ -137,10 +137,12 @@ def test_simhash(spark, full, monkeypatch):
     assert any(n > 20 for n in Counter(c for _, _, c in want).values())
 
 
-def test_simhash_deduplicate(spark):
-    d = docs(spark, [(3, "a b c d"), (4, "A b c d"), (7, None), (8, ""), (9, "other words here now")])
+@pytest.mark.parametrize("gone", [simhash.GONE, 0])
+def test_simhash_deduplicate(spark, gone, monkeypatch):
+    monkeypatch.setattr(simhash, "GONE", gone)
+    d = docs(spark, [(3, "a b c d"), (4, "A b c d"), (7, None), (8, ""), (9, "other words here now"), (None, "a b c d"), (4, "words of another text")])
     out = simhash.deduplicate(d)
-    assert out.columns == d.columns and sorted(r.doc_id for r in out.collect()) == [3, 7, 9]
+    assert out.columns == d.columns and sorted(r.doc_id for r in out.where("doc_id IS NOT NULL").collect()) == [3, 4, 4, 7, 9] and out.count() == 6
     assert simhash.deduplicate(d.limit(0)).count() == 0
 
 
