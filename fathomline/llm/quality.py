@@ -25,7 +25,8 @@ _SYMBOLS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) +
 _PLAIN = b".,;:'\"-?()"
 _ODD = bytes(c for c in _SYMBOLS if c not in _PLAIN)
 _DIGITS = b"0123456789"
-_UPPER = re.compile(r"[^\W\d_a-zß-öø-ÿ]")
+#: Capitals of the Latin, Greek and Cyrillic alphabets.
+_UPPER = re.compile("[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ]")
 OWN = 12
 
 
@@ -41,7 +42,7 @@ def _line(text: str, before: str | None) -> list[float]:
     odd = n - len(raw.translate(None, _ODD))
     plain = n - len(raw.translate(None, _PLAIN))
     digits = n - len(raw.translate(None, _DIGITS))
-    upper = sum(1 for c in text if c.isupper()) if n < 40 else len(_UPPER.findall(text))
+    upper = len(_UPPER.findall(text))
     return [
         min(1.0, np.log1p(n) / 8),
         odd / n,
