@@ -15,7 +15,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.llm.arrowmap import map_texts
@@ -151,16 +151,15 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     Of each language the texts with the smallest hashes are taken, copies once, whole, until ``docs_each`` texts or
     ``bytes_each`` bytes are reached. The driver gets these texts only.
     """
-    spark = df.sparkSession
     rows = df.where(df[lang_col].isNotNull() & df[text_col].isNotNull()).select(df[text_col].alias("text"), df[lang_col].alias("lang"), F.xxhash64(df[text_col]).alias("h"))
     names = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     texts: dict[str, list[bytes]] = {}
     if names:
-        # Bounded: docs_each rows of 8 bytes for each language. The hashes are found without moving a text.
-        picks = []
-        for x in names:
-            picks += [(x, r[0]) for r in rows.where(F.col("lang") == x).select("h").distinct().orderBy("h").limit(docs_each).collect()]
-        picked = spark.createDataFrame(picks, "lang string, h long")
+        # At most docs_each rows of 8 bytes for each language, found in one pass that moves hashes, not texts; what is
+        # past the limit is left out before the shuffle.
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+        known = rows.where(F.col("lang").isin(names)).select("lang", "h").distinct()
+        picked = known.withColumn("place", place).where(F.col("place") <= docs_each).select("lang", "h")
         some = rows.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).orderBy("lang", "h")
         for r in some.toLocalIterator():
             got, data = texts.setdefault(r["lang"], []), prepared(r["text"])
