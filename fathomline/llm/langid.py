@@ -155,11 +155,13 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     names = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     texts: dict[str, list[bytes]] = {}
     if names:
-        # At most docs_each rows of 8 bytes for each language, found in one pass that moves hashes, not texts; what is
-        # past the limit is left out before the shuffle.
-        place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-        known = rows.where(F.col("lang").isin(names)).select("lang", "h").distinct()
-        picked = known.withColumn("place", place).where(F.col("place") <= docs_each).select("lang", "h")
+        # At most docs_each rows of 8 bytes for each language, found in one pass that moves hashes, not texts. The
+        # smallest of each of 256 ranges come first; at most 256 * docs_each hashes of a language then meet in one task.
+        picked = rows.where(F.col("lang").isin(names)).select("lang", "h", F.shiftrightunsigned("h", 56).alias("range")).distinct()
+        for keys in (["lang", "range"], ["lang"]):
+            place = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+            picked = picked.withColumn("place", place).where(F.col("place") <= docs_each).drop("place")
+        picked = picked.select("lang", "h")
         some = rows.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).orderBy("lang", "h")
         for r in some.toLocalIterator():
             got, data = texts.setdefault(r["lang"], []), prepared(r["text"])
