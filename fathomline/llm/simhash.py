@@ -7,7 +7,8 @@ Hamming ball of radius 1 around each of its segment values, and matches are veri
 Documents with one fingerprint are one entry of the table. A segment value under which very many different
 fingerprints lie (a large family of near copies) isn't searched pair by pair: fingerprints within two bits are linked
 first through the values one bit away from both (of which each has 65), and then only fingerprints outside the
-bucket's largest linked class search the bucket. This finds the same components: links inside that class add nothing.
+bucket's largest linked class search the bucket, and those outside their own large bucket's. This finds the same
+components: links inside that class add nothing.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ def _crowded(distinct: DataFrame, entries: DataFrame, probe: DataFrame, sizes: D
     """Links that the large buckets give."""
     large = sizes.select("seg", "val")
     inside = written(entries.join(large, ["seg", "val"]), "mih-members")
-    seekers = probe.join(large, ["seg", "val"]).select("other_node", "other", "seg", "val")
+    seekers = probe.join(large, ["seg", "val"]).select("other_node", "other", "seg", "own", "val")
     seekers = written(seekers, "mih-seekers")
     crowd = seekers.select(F.col("other_node").alias("node"), F.col("other").alias("fp")).distinct()
     ball = F.array_append(F.transform(_bits(64), lambda m: F.col("fp").bitwiseXOR(m)), F.col("fp"))
@@ -113,7 +114,11 @@ def _crowded(distinct: DataFrame, entries: DataFrame, probe: DataFrame, sizes: D
     classed = written(classed, "mih-classes")
     counts = inside.join(classed, "node").groupBy("seg", "val", "class").count()
     largest = counts.groupBy("seg", "val").agg(F.max_by("class", F.struct("count", "class")).alias("largest"))
-    outside = seekers.join(classed, seekers["other_node"] == classed["node"]).drop("node").join(largest, ["seg", "val"]).where("class <> largest").select("other_node", "other", "seg", "val")
+    outside = seekers.join(classed, seekers["other_node"] == classed["node"]).drop("node").join(largest, ["seg", "val"])
+    # Whoever skips a neighbouring large bucket must be of its own bucket's largest class too: else two that are one bit
+    # apart here could each skip the other's bucket.
+    at_home = largest.select("seg", F.col("val").alias("own"), F.col("largest").alias("own_largest"))
+    outside = outside.join(at_home, ["seg", "own"], "left").where("class <> largest OR class <> own_largest").select("other_node", "other", "seg", "val")
     pairs = outside.join(inside, ["seg", "val"]).where(_near(3)).select(F.col("other_node").alias("a"), F.col("node").alias("b"))
     return stars.union(pairs)
 

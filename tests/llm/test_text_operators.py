@@ -137,6 +137,18 @@ def test_simhash(spark, full, monkeypatch):
     assert any(n > 20 for n in Counter(c for _, _, c in want).values())
 
 
+def test_simhash_adjacent_crowded_buckets(spark):
+    """x and y are 3 bits apart, each of the class that is largest in the other's bucket."""
+    bits = lambda *at: sum(1 << i for i in at)
+    v, w = bits(40), bits(40, 32)
+    x, y = 0, bits(0, 1)
+    far_x = [x ^ bits(2, 3), x ^ bits(2, 3, 4, 5), x ^ bits(2, 3, 4, 5, 6, 7)]
+    far_y = [y ^ bits(10, 11), y ^ bits(10, 11, 12, 13), y ^ bits(10, 11, 12, 13, 14, 15)]
+    fps = [v + x, v + far_x[0], *(w + f for f in far_x), w + y, w + far_y[0], *(v + f for f in far_y)]
+    found = simhash.components(simhash.links(spark.createDataFrame(list(enumerate(fps)), "node long, fp long"), 4)).collect()
+    assert {(r.node, r.component) for r in found} == {(i, 0) for i in range(1, len(fps))}
+
+
 @pytest.mark.parametrize("gone", [simhash.GONE, 0])
 def test_simhash_deduplicate(spark, gone, monkeypatch):
     monkeypatch.setattr(simhash, "GONE", gone)
