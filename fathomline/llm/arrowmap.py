@@ -1,4 +1,8 @@
-"""Row-wise Python over Arrow batches, with memory bounded by bytes and not by rows."""
+"""Row-wise Python over Arrow batches, with memory bounded by bytes and not by rows.
+
+Spark cuts batches by its own settings (``spark.sql.execution.arrow.maxBytesPerBatch`` and ``maxRecordsPerBatch``), which
+are left as the session has them; functions get slices of these.
+"""
 
 from __future__ import annotations
 
@@ -29,6 +33,4 @@ def map_texts(df: DataFrame, function: Callable, schema: str, text: int = 1) ->
         for batch in slices(batches, text):
             yield from function(batch)
 
-    # Few rows a batch, as one text may be megabytes long; slices() cuts by bytes within them.
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return df.mapInArrow(run, schema)

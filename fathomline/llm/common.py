@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class WordHashes(dict):
+    """64-bit hashes of words (str or bytes); emptied when it has grown to its bound."""
+
+    def __missing__(self, word: str | bytes) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass") if isinstance(word, str) else word, 7)
+        return h
+
+
+def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash for each run of ``width`` words, from the words' hashes."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    h = np.zeros(n, np.uint64)
+    for k in range(width):
+        h = h * ODD + words[k : k + n]
+        h ^= h >> np.uint64(29)
+    return h * ODD
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables below ``sf_dir``, by a path that only Spark needs to understand."""
@@ -17,13 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``.  Only a session without that setting, on a
-    ``local`` master, gets a temporary folder of its own.
+    It is what the cluster names in ``spark.checkpoint.dir``.  Only a session without that setting whose executor is the
+    driver itself (master ``local`` or ``local[...]``) gets a temporary folder of its own.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     at = tempfile.mkdtemp(prefix="fathomline-")
     spark.conf.set("spark.checkpoint.dir", at)
@@ -49,6 +76,15 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def located(name: str) -> str:
+    """The path of a tokenizer file: a name without a folder is that of a public tokenizer, found where it is used."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -23,46 +23,23 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.arrowmap import map_texts
+from fathomline.llm.common import ODD, WordHashes, run_hashes
 
 _WORD = re.compile(r"\w+")
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 PERMUTATIONS = 64
 MISS = 1e-6
 #: Bytes of benchmark text that go to the executors at once.
 BLOCK_BYTES = 4 << 20
 
 
-class _Words(dict):
-    """Hashes of words; emptied when it has grown to its bound."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
-        return h
-
-
 def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _hashes(got: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash for each run of ``width`` words, from the words' hashes."""
-    n = len(got) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in range(width):
-        h = h * _ODD + got[k : k + n]
-        h ^= h >> np.uint64(29)
-    return h * _ODD
-
-
 def _signature(h: np.ndarray) -> np.ndarray:
     """PERMUTATIONS minima over the set ``h``."""
     odd = np.arange(1, 2 * PERMUTATIONS, 2, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)
@@ -70,7 +47,7 @@ def _signature(h: np.ndarray) -> np.ndarray:
     for i in range(0, len(h), 4096):
         x = h[i : i + 4096, None] * odd
         x ^= x >> np.uint64(32)
-        out = np.minimum(out, (x * _ODD).min(axis=0))
+        out = np.minimum(out, (x * ODD).min(axis=0))
     return out
 
 
@@ -90,14 +67,14 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], width: int, threshold: float):
         self.threshold, self.shingles, hashes = threshold, [], []
         by_width = defaultdict(set)
-        cache = _Words()
+        cache = WordHashes()
         for item, text in items:
             w = words(text)
             if not w:
                 continue
             k = min(width, len(w))
             own = {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)}
-            h = np.unique(_hashes(np.array([cache[x] for x in w], np.uint64), k))
+            h = np.unique(run_hashes(np.array([cache[x] for x in w], np.uint64), k))
             by_width[k].update(h.tolist())
             self.shingles.append((item, frozenset(own)))
             hashes.append(h)
@@ -125,7 +102,7 @@ class Index:
             self.tables[p] = dict(found), kinds
         return self.tables[p]
 
-    def search(self, text: str | None, cache: _Words) -> list[tuple[int, int, int]]:
+    def search(self, text: str | None, cache: WordHashes) -> list[tuple[int, int, int]]:
         """(item, shared shingles, its shingles) of each item that the text contains."""
         if not text or not self.known:
             return []
@@ -133,7 +110,7 @@ class Index:
         got = np.fromiter(map(cache.__getitem__, w), np.uint64, len(w))
         kept, own = [], set()
         for k, known in self.known.items():
-            h = _hashes(got, k)
+            h = run_hashes(got, k)
             at = np.flatnonzero(self.bits[k][h >> np.uint64(44)])
             if len(at):
                 x = h[at]
@@ -159,14 +136,14 @@ class Index:
         return out
 
 
-_LAST: dict[str, tuple[Index, _Words]] = {}
+_LAST: dict[str, tuple[Index, WordHashes]] = {}
 
 
-def _index(name: str, sent, width: int, threshold: float) -> tuple[Index, _Words]:
+def _index(name: str, sent, width: int, threshold: float) -> tuple[Index, WordHashes]:
     """The index of a sent block; a Python process keeps the last one over its tasks."""
     if name not in _LAST:
         _LAST.clear()
-        _LAST[name] = Index(sent.value, width, threshold), _Words()
+        _LAST[name] = Index(sent.value, width, threshold), WordHashes()
     return _LAST[name]
 
 

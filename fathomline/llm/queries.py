@@ -9,13 +9,6 @@ from fathomline.llm import decontaminate, exact_dedup, langid, quality, records,
 from fathomline.llm.common import table
 
 
-def tokenizer(name: str) -> str:
-    """Where a public tokenizer's file is; it is looked up where it's used, never copied."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secrets.train(secrets.labelled_findings(spark))
     return secrets.scan(table(spark, sf_dir, "documents"), model, path_col="source")
@@ -26,12 +19,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = records.encoded_index(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
+    out = records.encoded_index(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=1)
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "length")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sentencepieces.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), end=True, decoded=True)
+    out = sentencepieces.encode(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", end=True, decoded=True)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

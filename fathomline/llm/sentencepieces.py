@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fathomline.llm.arrowmap import map_texts
+from fathomline.llm.common import located
 
 _MARK = "▁"
 
@@ -179,7 +180,7 @@ _LOADED: dict[str, Pieces] = {}
 def pieces(model: str) -> Pieces:
     """One encoder for each model and Python process."""
     if model not in _LOADED:
-        _LOADED[model] = Pieces(model)
+        _LOADED[model] = Pieces(located(model))
     return _LOADED[model]
 
 
@@ -188,7 +189,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     text, then an end id if ``end``; with ``decoded`` also the text that the ids decode to.
 
     A null text counts as empty and has the end id alone. Texts are encoded whole. Repeated rows give repeated rows.
-    ``model`` is the file's path, which must be readable on every executor.
+    ``model`` is the file's path, which must be readable on every executor, or the name of a public tokenizer.
     """
 
     def run(batch):
