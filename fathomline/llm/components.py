@@ -5,14 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import fresh_path, removed
+from fathomline.llm.common import fresh_path, removed, written
+
+#: Links from which a node is a hub, and hubs that may be broadcast, at 16 bytes each.
+HUB, HUBS = 64, 200_000
+#: Pieces that every node's links are dealt to where there are more hubs.
+SALTS = 16
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the node's smallest neighbour (itself included)."""
+    """Every larger neighbour of a node is linked to the node's smallest neighbour (itself included).
+
+    The links of a hub meet its minimum where they are, without a shuffle, or in several tasks.
+    """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    least = written(least, "components-least")
+    up, hubs = both.where("b > a"), least.where(F.col("n") > HUB)
+    count = hubs.count()
+    if count > HUBS:
+        pieces = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        met = up.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(least.withColumn("s", pieces), ["a", "s"])
+    elif count:
+        known = up.join(F.broadcast(hubs.select("a", F.col("m").alias("hub"))), "a", "left")
+        rest = known.where("hub IS NULL").join(least.where(F.col("n") <= HUB), "a").select("a", "b", "m")
+        met = rest.union(known.where("hub IS NOT NULL").select("a", "b", F.col("hub").alias("m")))
+    else:
+        met = up.join(least, "a")
+    return met.select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -28,7 +48,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     ``component`` is the smallest node reachable. Loops (a = b) and repeated edges are allowed; no edges give an empty
     table. Nodes mustn't be null. The minimum of a node's neighbours is taken with partial aggregation before the
-    shuffle, so a node with very many links doesn't gather in one task. Rounds grow with the logarithm of the longest
+    shuffle, and a hub's links aren't shuffled by the hub, so a node with very many links doesn't gather in one task. Rounds grow with the logarithm of the longest
     path; each writes its edges to the shared folder, and the one before it is deleted.
     """
     spark = edges.sparkSession
