@@ -14,7 +14,7 @@ n bytes               payload: id (signed 64 bits), 1 if the id is null (8 bits)
 A checksum c is masked as ((c >> 15 | c << 17) + 0xa282ead8) mod 2^32, so that checksums of data that hold checksums
 stay useful. Files are written by Spark's own text writer (a record is a "line" of bytes, the end mark its separator)
 and read by Spark's binary file reader. So they can be in any store that Spark reaches, and a lost task is written
-again under the usual commit protocol. Part files in the order of their names have the records in ascending id order.
+again under the usual commit protocol. Part files in the order of their numbers have the records in ascending id order.
 """
 
 from __future__ import annotations
@@ -28,15 +28,17 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.llm.arrowmap import map_texts
-from fathomline.llm.common import fresh_path, shuffle_partitions
+from fathomline.llm.common import fresh_path, located, shuffle_partitions, written
 
 _HEAD, _SUM, _ABOUT = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qBB")
 #: Bytes of text that make one file at most, on average; a file is read back as one value.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
+#: Files whose starts may be broadcast, at about 60 bytes each, and files whose tokens are summed up in one task.
+FILES, FILES_A_TASK = 50_000, 10_000
 
 
 def masked(data: bytes) -> int:
@@ -135,7 +137,7 @@ _LOADED: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
+        _LOADED[path] = Encoder(located(path))
     return _LOADED[path]
 
 
@@ -143,12 +145,15 @@ def write(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text
     """Encode every text of ``df`` and write the records below ``path`` in ascending id order.
 
     A null text counts as empty; its record holds the end id alone. Null ids come first. Repeated ids give a record
-    each, in no set order. An empty table gives no records.
+    each, in the order of their texts' hashes, and may lie in several files. An empty table gives no records.
+    ``tokenizer`` is a file's path, which must be readable on every executor, or the name of a public tokenizer.
     """
     if files is None:
         files = max(shuffle_partitions(df.sparkSession), (df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // FILE_BYTES + 1)
-    rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
-    rows = rows.repartitionByRange(files, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")).withColumn("h", F.xxhash64("text"))
+    # The row's place in the input cuts an id that very many rows share; it is the same in a task that runs again.
+    order = [F.col("id").asc_nulls_first(), F.col("h").asc(), F.col("at").asc()]
+    rows = rows.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(files, *order).sortWithinPartitions(*order).select("id", "text")
 
     def run(batch):
         e = encoder(tokenizer)
@@ -180,25 +185,35 @@ def read(spark, path: str) -> DataFrame:
                 for i in range(0, len(out), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c) if k else pa.array(c, pa.string()) for k, c in enumerate(zip(*out[i : i + 10_000]))], names).cast(pa.schema([(x, pa.string() if x == "file" else pa.int64()) for x in names]))
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a file is one value
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(run, schema)
 
 
+def _starts(totals: DataFrame) -> DataFrame:
+    """(file, base) for each row (file, n) of ``totals``: the tokens of all files of a smaller number.
+
+    Sums are made in stretches of FILES_A_TASK files, and over the stretches' sums.
+    """
+    numbered = totals.withColumn("number", F.regexp_extract("file", r"^part-(\d+)", 1).cast("long"))
+    numbered = numbered.withColumn("stretch", F.floor(F.col("number") / FILES_A_TASK))
+    sums = numbered.groupBy("stretch").agg(F.sum("n").alias("all"))
+    earlier = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("stretch", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("stretch").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    known = numbered.select("file", "stretch", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("inside"))
+    return known.join(sums, "stretch").select("file", (F.col("before") + F.col("inside")).alias("base"))
+
+
 def index(spark, path: str) -> DataFrame:
     """The offset index of the files below ``path``: ``read``'s rows with ``start``, the tokens of all records before.
 
-    It is written beside the files, as the table ``_index``.
+    It is written beside the files, as the table ``_index``. Files count in the order of their numbers.
     """
     rows = read(spark, path)
     rows.write.parquet(f"{path}/_index")
     rows = spark.read.schema(rows.schema).parquet(f"{path}/_index")
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).orderBy("file").collect()  # a row for each file
-    bases, base = [], 0
-    for r in totals:
-        bases.append((r["file"], base))
-        base += r["n"]
-    known = spark.createDataFrame(bases, "file string, base long")
-    return rows.join(F.broadcast(known), "file").withColumn("start", F.col("base") + F.col("before")).drop("base", "before")
+    known = written(_starts(rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))), "record-starts")
+    known = F.broadcast(known) if known.count() <= FILES else known
+    return rows.join(known, "file").withColumn("start", F.col("base") + F.col("before")).drop("base", "before")
 
 
 def fetch(path: str, places: list[tuple[str, int]], opener=open) -> list[tuple[int | None, np.ndarray]]:
