@@ -6,7 +6,8 @@ symbol not seen there costs the escape -log2(D / (N + D)) and then what it costs
 costs nothing and passes to the order below it; below order 0 each of the 256 bytes is alike. The language with the
 shortest code for the whole text wins. Code lengths are exact: they are the sums of these costs over all bytes.
 
-Texts are lower-cased, and each run of ASCII characters other than letters counts as one blank.
+Texts are lower-cased, and each run of ASCII characters other than letters counts as one blank. Where two languages
+have equally short codes, the alphabetically first wins.
 """
 
 from __future__ import annotations
@@ -15,14 +16,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.arrowmap import map_texts
 
 ORDER = 4
-#: Bounds of the sample that is learnt from: different texts, and bytes, of each language. Languages: the most frequent.
-DOCS_EACH, BYTES_EACH, LANGUAGES = 500, 2 << 20, 200
+#: Bounds of the sample that is learnt from: different texts, and bytes, of each language; bytes of each are fewer where
+#: there are very many languages, so that bytes times languages squared stay within CELLS.
+DOCS_EACH, BYTES_EACH, CELLS = 500, 2 << 20, 1 << 30
+#: Bytes that are scored at once.
+_AT_ONCE = 1 << 20
 _NOT_LETTERS = re.compile(r"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,8 +46,8 @@ def _grams(data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _padded(texts: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(b" " * ORDER + t for t in texts), np.uint8).astype(np.uint64)
+def _padded(texts: list[bytes], blanks: int = ORDER) -> np.ndarray:
+    return np.frombuffer(b"".join(b" " * blanks + t for t in texts), np.uint8).astype(np.uint64)
 
 
 def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,37 +139,57 @@ class Trees:
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each non-empty text under each language."""
-        data = _padded(texts)
-        ends = np.cumsum([ORDER + len(t) for t in texts]) - ORDER
-        starts = ends - [len(t) for t in texts]
-        grams, out = _grams(data, ORDER + 1), np.zeros((len(texts), len(self.languages)))
-        for i in range(0, len(texts)):
-            for a in range(starts[i], ends[i], 1 << 20):
-                out[i] += self._score(grams[a : min(a + (1 << 20), ends[i])], ORDER).sum(axis=0)
+        out = np.zeros((len(texts), len(self.languages)))
+        group, size = [], 0
+
+        def add() -> None:
+            # Each piece has the ORDER bytes before it in front; their own grams are left out.
+            grams, at = _grams(_padded([p for _, p in group], 0), ORDER + 1), 0
+            for i, p in group:
+                out[i] += self._score(grams[at : at + len(p) - ORDER], ORDER).sum(axis=0)
+                at += len(p)
+            group.clear()
+
+        for i, t in enumerate(texts):
+            for a in range(0, len(t), _AT_ONCE):
+                group.append((i, t[a - ORDER : a + _AT_ONCE] if a else b" " * ORDER + t[:_AT_ONCE]))
+                size += len(group[-1][1])
+                if size >= _AT_ONCE:
+                    add()
+                    size = 0
+        if group:
+            add()
         return out
 
 
-def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_each: int = DOCS_EACH, bytes_each: int = BYTES_EACH, languages: int = LANGUAGES) -> Trees:
-    """Trees from a bounded sample of the rows of ``df`` with a language.
+def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_each: int = DOCS_EACH, bytes_each: int = BYTES_EACH, cells: int = CELLS) -> Trees:
+    """Trees from a bounded sample of the rows of ``df`` with a language; every language that occurs is learnt.
 
     Of each language the texts with the smallest hashes are taken, copies once, whole, until ``docs_each`` texts or
-    ``bytes_each`` bytes are reached. The driver gets these texts only.
+    ``bytes_each`` bytes are reached; with n languages ``bytes_each`` is ``cells / n**2`` at most, and 1024 at least.
+    The driver gets these texts only. Rows with a null text or language are left out; no rows give trees of no language.
     """
-    rows = df.where(df[lang_col].isNotNull() & df[text_col].isNotNull()).select(df[text_col].alias("text"), df[lang_col].alias("lang"), F.xxhash64(df[text_col]).alias("h"))
-    names = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    h = F.shiftrightunsigned(F.xxhash64(df[text_col]), 2)
+    rows = df.where(df[lang_col].isNotNull() & df[text_col].isNotNull()).select(df[text_col].alias("text"), df[lang_col].cast("string").alias("lang"), h.alias("h"))
+    # The number of different hashes of each length in bits says below which one enough of them lie. Only counts meet
+    # by language, 62 of each.
+    lengths = rows.select("lang", "h").distinct().groupBy("lang", F.length(F.bin("h")).alias("bits")).count()
+    below: dict[str, list] = {}
+    for r in sorted(lengths.collect(), key=lambda r: (r["lang"], r["bits"])):
+        got = below.setdefault(r["lang"], [0, 0])
+        if got[0] < docs_each:
+            got[0], got[1] = got[0] + r["count"], r["bits"]
     texts: dict[str, list[bytes]] = {}
-    if names:
-        # At most docs_each rows of 8 bytes for each language, found in one pass that moves hashes, not texts. The
-        # smallest of each of 256 ranges come first; at most 256 * docs_each hashes of a language then meet in one task.
-        picked = rows.where(F.col("lang").isin(names)).select("lang", "h", F.shiftrightunsigned("h", 56).alias("range")).distinct()
-        for keys in (["lang", "range"], ["lang"]):
-            place = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
-            picked = picked.withColumn("place", place).where(F.col("place") <= docs_each).drop("place")
-        picked = picked.select("lang", "h")
-        some = rows.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).orderBy("lang", "h")
-        for r in some.toLocalIterator():
+    if below:
+        bytes_each = max(1024, min(bytes_each, cells // len(below) ** 2))
+        bounds = df.sparkSession.createDataFrame([(k, 2 ** v[1]) for k, v in below.items()], "lang string, bound long")
+        # Bounded by the number of languages; about twice docs_each texts of each pass it.
+        some = rows.join(F.broadcast(bounds), "lang").where("h < bound").groupBy("lang", "h").agg(F.first("text").alias("text"))
+        taken: dict[str, int] = {}
+        for r in some.orderBy("lang", "h").toLocalIterator():
             got, data = texts.setdefault(r["lang"], []), prepared(r["text"])
-            if data and sum(map(len, got)) < bytes_each:
+            taken[r["lang"]] = taken.get(r["lang"], 0) + 1
+            if data and taken[r["lang"]] <= docs_each and sum(map(len, got)) < bytes_each:
                 got.append(data)
     return Trees({k: v for k, v in texts.items() if v})
 
@@ -176,7 +200,7 @@ def predict(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
     ``score`` is the share of the language among all, each weighted by two to the power of minus its code length.
     A text that is null or has no letter, like any text if nothing was learnt, gets ``und``, score 0 and no bits.
     """
-    sent = df.sparkSession.sparkContext.broadcast(trees)  # bounded by languages * bytes_each
+    sent = df.sparkSession.sparkContext.broadcast(trees)  # bounded by cells
 
     def run(batch):
         trees = sent.value
@@ -193,5 +217,3 @@ def predict(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
 
     kind = df.schema[id_col].dataType.simpleString()
     return map_texts(df.select(df[id_col].alias("id"), df[text_col].alias("text")), run, f"id {kind}, lang_pred string, score double, bits double").withColumnRenamed("id", id_col)
-
-
