@@ -2,7 +2,9 @@
 
 Every line of a document is good or bad. A line's features are its own and its neighbours'; the chain's transitions
 tie adjacent lines. The field is trained on documents with a label, whose lines all take that label. Forward-backward
-marginals of "good", weighted by the lines' lengths, make the document's score.
+marginals of "good", weighted by the lines' lengths, make the document's score. A chain is never cut, whatever its
+length: a line takes a few numbers of memory. Texts without a line have no chain; their score is the share of good ones
+among the labelled documents that have none either, 0 if there are none.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from fathomline.llm.common import written
 
 #: Bounds of the training sample: labelled documents, and bytes in all.
 DOCS, BYTES = 2000, 24 << 20
-#: Chains are cut into pieces of so many lines; pieces overlap by CONTEXT lines on either side, so that marginals agree.
-PIECE, CONTEXT = 2000, 50
+#: Lines whose features are held at once, and from how many lines on a training chain is gone through on its own.
+BLOCK, LONG = 4096, 256
+#: Emissions are kept within this, so that no ratio overflows.
+_MOST = 200.0
 _SYMBOLS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 _PLAIN = b".,;:'\"-?()"
 _ODD = bytes(c for c in _SYMBOLS if c not in _PLAIN)
@@ -59,9 +63,13 @@ def _line(text: str, before: str | None) -> list[float]:
     ]
 
 
+def _own(lines: list[str], before: str | None = None) -> np.ndarray:
+    return np.array([_line(x, lines[i - 1] if i else before) for i, x in enumerate(lines)])
+
+
 def features(lines: list[str]) -> np.ndarray:
     """A row for each line: its own features, those of the lines before and after it, and whether there are such."""
-    own = np.array([_line(x, lines[i - 1] if i else None) for i, x in enumerate(lines)])
+    own = _own(lines)
     none = np.zeros((1, OWN))
     ends = np.zeros((len(lines), 3))
     ends[0, 0] = ends[-1, 1] = 1
@@ -74,21 +82,54 @@ class Field:
 
     def __init__(self, w: np.ndarray, t: np.ndarray, mean: np.ndarray, scale: np.ndarray, empty: float = 0.0):
         self.w, self.t, self.mean, self.scale, self.empty = w, t, mean, scale, empty
-
-    def marginals(self, x: np.ndarray) -> np.ndarray:
-        """P(good) of each line of one piece."""
-        return _forward_backward(((x - self.mean) / self.scale @ self.w)[None, :], np.array([len(x)]), self.t)[0][0]
+        v = w / scale
+        self.parts = v[: 3 * OWN].reshape(3, OWN).T, v[3 * OWN :], -float(mean @ v)
+
+    def emissions(self, lines: list[str]) -> np.ndarray:
+        """Score of good against bad of each line, from blocks of lines."""
+        weights, ends, base = self.parts
+        got = np.vstack([_own(lines[i : i + BLOCK], lines[i - 1] if i else None) @ weights for i in range(0, len(lines), BLOCK)])
+        out = got[:, 0] + base + ends[2]
+        out[1:] += got[:-1, 1]
+        out[:-1] += got[1:, 2]
+        out[0] += ends[0]
+        out[-1] += ends[1]
+        return out
+
+    def marginals(self, lines: list[str]) -> np.ndarray:
+        """P(good) of each line."""
+        return _chain(self.emissions(lines), self.t)[0]
 
     def score(self, text: str | None) -> float:
         lines = lines_of(text)
         if not lines:
             return self.empty
-        x, size = features(lines), np.array([len(y) for y in lines], float)
-        good = np.empty(len(lines))
-        for i in range(0, len(lines), PIECE):
-            a, b = max(0, i - CONTEXT), min(len(lines), i + PIECE + CONTEXT)
-            good[i : i + PIECE] = self.marginals(x[a:b])[i - a : i - a + PIECE]
-        return float(np.clip(good @ size / size.sum(), 0.0, 1.0))
+        size = np.array([len(y) for y in lines], float)
+        return float(np.clip(self.marginals(lines) @ size / size.sum(), 0.0, 1.0))
+
+
+def _chain(emit: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) of each place of one chain, and the expected transitions (2 x 2).
+
+    With two states a message is one number, the ratio of good to bad.
+    """
+    (t00, t01), (t10, t11) = np.exp(t - t.max()).tolist()
+    e = np.exp(np.clip(emit, -_MOST, _MOST))
+    odds, n = e.tolist(), len(emit)
+    forward, backward = [odds[0]] * n, [1.0] * n
+    r = odds[0]
+    for i in range(1, n):
+        r = forward[i] = odds[i] * (t01 + r * t11) / (t00 + r * t10)
+    r = 1.0
+    for i in range(n - 2, -1, -1):
+        x = odds[i + 1] * r
+        r = backward[i] = (t10 + t11 * x) / (t00 + t01 * x)
+    f, b = np.array(forward), np.array(backward)
+    x = f * b
+    good = x / (1 + x)
+    y = e[1:] * b[1:]
+    pairs = np.stack((np.full(n - 1, t00), t01 * y, f[:-1] * t10, f[:-1] * t11 * y), axis=1)
+    return good, (pairs / pairs.sum(axis=1, keepdims=True)).sum(axis=0).reshape(2, 2)
 
 
 def _forward_backward(emit: np.ndarray, length: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,19 +161,21 @@ def train(documents: list[tuple[str | None, int]], rounds: int = 60, rate: float
     for text, label in documents:
         lines = lines_of(text)
         if lines:
-            chains.extend((features(lines[i : i + PIECE]), label) for i in range(0, len(lines), PIECE))
+            chains.append((features(lines), label))
         else:
             empties.append(label)
+    empty = sum(empties) / len(empties) if empties else 0.0
     width = 3 * OWN + 3
     if not chains:
-        return Field(np.zeros(width), np.zeros((2, 2)), np.zeros(width), np.ones(width))
+        return Field(np.zeros(width), np.zeros((2, 2)), np.zeros(width), np.ones(width), empty)
     rows = np.vstack([x for x, _ in chains])
     mean, scale = rows.mean(axis=0), rows.std(axis=0)
     mean[-1], scale[scale < 1e-6] = 0, 1
     chains.sort(key=lambda c: len(c[0]))
     batches = []
-    for i in range(0, len(chains), 64):
-        part = chains[i : i + 64]
+    long = next((i for i, c in enumerate(chains) if len(c[0]) > LONG), len(chains))
+    for i in [*range(0, long, 64), *range(long, len(chains))]:
+        part = chains[i : min(i + 64, long)] if i < long else chains[i : i + 1]
         x = np.zeros((len(part), len(part[-1][0]), width))
         for k, (rows, _) in enumerate(part):
             x[k, : len(rows)] = (rows - mean) / scale
@@ -148,14 +191,18 @@ def train(documents: list[tuple[str | None, int]], rounds: int = 60, rate: float
     for k in range(1, rounds + 1):
         gw, gt = np.zeros(width), np.zeros((2, 2))
         for x, length, live, truth, seen in batches:
-            good, pairs = _forward_backward(x @ w, length, t)
+            if len(x) > 1 or length[0] <= LONG:
+                good, pairs = _forward_backward(x @ w, length, t)
+            else:
+                good, pairs = _chain(x[0] @ w, t)
+                good = good[None, :]
             gw += np.einsum("ij,ijk->k", (truth - good) * live, x)
             gt += seen - pairs
         g = np.concatenate((gw, gt.ravel())) / total - l2 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         w, t = theta[:width], theta[width:].reshape(2, 2)
-    return Field(w, t, mean, scale)
+    return Field(w, t, mean, scale, empty)
 
 
 def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", docs: int = DOCS, most_bytes: int = BYTES) -> Field:
@@ -170,7 +217,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     out, size = [], 0
     # written first, so that going through them on the driver starts no second scan
     for r in written(texts, "quality-sample").orderBy(F.xxhash64("id"), "id").toLocalIterator():
-        size += len(r["text"] or "")
+        size += len((r["text"] or "").encode("utf-8", "surrogatepass"))
         if size > most_bytes and out:
             break
         out.append((r["text"], r["label"]))
@@ -180,7 +227,8 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def scores(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """``id_col``, ``score`` (0 to 1) and ``predicted`` (1 if the score reaches ``threshold``) for each row of ``df``.
 
-    Texts are scored whole, whatever their length. A null or empty text, or one of white space alone, gets score 0.
+    Texts are scored whole, whatever their length. A null or empty text, or one of white space alone, gets the share of
+    good ones among such labelled texts, 0 if none has a label.
     Repeated rows give repeated rows; ids may be null.
     """
     kind = df.schema[id_col].dataType.simpleString()
