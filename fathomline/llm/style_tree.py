@@ -1,24 +1,28 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one tree of style nodes (a node: the tags, classes and ids on the path to it). For
-each node two importances are counted over the host's m pages that have it:
-
-* presentation: the entropy, to the base m, of the different sequences of child elements found there;
-* content: 1 minus the mean, over the different texts below the node, of log(pages with the text) / log(m). A text that
-  all pages share has entropy 1 and adds nothing, a text of one page has entropy 0.
-
-With l different child sequences the composite importance is (1 - d^l) * presentation + d^l * content, with damping d.
-A branch whose composite importance is below the threshold is removed from every page of the host. Hosts with few
-pages, and hosts on which no branch varies (nothing but copies of one page), say nothing, and none of their branches
-is removed in this way. Elements that by their tag, role, class or id are page furniture have importance zero by
-definition. Paragraphs of an ``article`` or ``main`` element are that page's content even where another page repeats
-them, so only furniture is removed inside of these; a page with such an element consists of it.
+The pages of a host are merged into one tree of style nodes. An element node is the tags, classes and ids on the path to
+it; below it are its content nodes, one for each different text. Importances are entropies over the host's m different
+pages that have the element node:
+
+* presentation of an element node: the entropy, to the base m, of the different sequences of child elements found there;
+* content of an element node: 1 minus the mean, over the different texts below it, of log(pages with the text) / log(m).
+  A text that all pages share has entropy 1 and adds nothing, a text of one page has entropy 0;
+* with l different child sequences an element's importance is (1 - d^l) * presentation + d^l * content, with damping d;
+* a content node's importance is 1 - log(pages with the text) / log(m).
+
+Copies and near copies of one article count as one page: pages are told apart by the least hash of their 3-word shingles.
+Thus what many copies share isn't taken for boilerplate, but what stands beside many different articles is.
+
+Branches of low importance are removed from every page of the host. Tags, roles, classes and ids give a prior, which sets
+how low: page furniture (menus, forms, footers and the like) has importance zero by definition, so it isn't in the tree;
+what is inside an ``article`` or ``main`` element goes below BARS[0] (a text on nearly all pages), what stands outside of it
+on a page that has one goes below BARS[2], anything else goes below BARS[1]. Hosts with few different pages, and hosts on
+which nothing varies, have no tree: priors alone decide there.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -26,12 +30,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.arrowmap import map_texts
+from fathomline.llm.arrowmap import map_texts, slices
 from fathomline.llm.common import written
 
-DAMPING, THRESHOLD, LEAST_PAGES = 0.9, 0.3, 8
-#: Bytes of the table of removed branches up to which it is broadcast; beyond, it is joined by salted host.
+DAMPING, LEAST_PAGES = 0.9, 8
+#: Importances below which branches go: inside an article or main element, on pages without one, and outside of one.
+BARS = (0.05, 0.3, 0.6)
+#: Bytes of the table of removed branches up to which it is broadcast; beyond, pages meet it by salted host.
 BROADCAST_BYTES, SALTS = 8 << 20, 32
+#: Element nodes that may be broadcast to their content nodes, at about 60 bytes each.
+NODES = 100_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -175,94 +183,166 @@ class Page:
             stack.append((tag, node, (*path, node), furniture or _furniture(tag, attributes, main), main))
         flush()
 
-    def text(self, low: frozenset[int] = frozenset()) -> str:
-        if self.has_main:
-            return " ".join(t for t, _, furniture, main in self.blocks if main and not furniture)
-        return " ".join(t for t, path, furniture, _ in self.blocks if not furniture and low.isdisjoint(path))
+    def text(self, bars: tuple[frozenset[int], ...] | None = None) -> str:
+        """The blocks that stay, joined by blanks; ``bars`` has the branches below each of BARS, if the host has a tree."""
+        out = []
+        for text, path, furniture, main in self.blocks:
+            if furniture:
+                continue
+            if bars is None:
+                stays = main or not self.has_main
+            else:
+                low = bars[0 if main else 2 if self.has_main else 1]
+                stays = low.isdisjoint(path) and not (low and content_node(path, text) in low)
+            if stays:
+                out.append(text)
+        return " ".join(out)
+
+    def identity(self) -> int:
+        """The least hash of the 3-word shingles of what isn't furniture; copies share it, near copies mostly do."""
+        digest, least = xxhash.xxh64_intdigest, 2**64 - 1
+        for text, _, furniture, _ in self.blocks:
+            if not furniture:
+                words = text.encode("utf-8", "surrogatepass").split()
+                least = min(least, min(map(digest, map(b" ".join, zip(words, words[1:], words[2:]))), default=least), *([digest(text.encode("utf-8", "surrogatepass"))] if len(words) < 3 else ()))
+        return least >> 1
 
     def features(self) -> set[tuple[int, int, int]]:
-        """(node, kind, feature): kind 0 a text below the node, 1 its child sequence, 2 its presence."""
+        """(node, kind, feature) of what isn't furniture: kind 0 a text below an inner node, 1 its child sequence, 2 its
+        presence, 3 a text right at it (the feature is its content node)."""
         out: set[tuple[int, int, int]] = set()
-        digest = xxhash.xxh64_intdigest
-        for text, path, _, _ in self.blocks:
-            h = digest(text.encode("utf-8", "surrogatepass")) >> 1
-            out.update((node, 0, h) for node in path)
+        for text, path, furniture, _ in self.blocks:
+            if furniture or not path:
+                continue
+            h = content_node(path, text)
+            out.add((path[-1], 3, h))
+            out.update((node, 0, h) for node in path[:-1])
             out.update((node, 2, 0) for node in path)
         for node, labels in self.children.items():
-            if node:
+            if (node, 2, 0) in out:
                 runs = [x for i, x in enumerate(labels) if not i or labels[i - 1] != x]
-                out.add((node, 1, digest("/".join(runs).encode("utf-8", "surrogatepass")) >> 1))
+                out.add((node, 1, xxhash.xxh64_intdigest("/".join(runs).encode("utf-8", "surrogatepass")) >> 1))
         return out
 
 
+def content_node(path: tuple[int, ...], text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{path[-1] if path else 0}~{text}".encode("utf-8", "surrogatepass")) >> 1
+
+
 def _host(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit(""))
 
 
 def importances(pages: DataFrame, url_col: str = "url", html_col: str = "html", damping: float = DAMPING) -> DataFrame:
-    """The style trees of all hosts: ``host``, ``node``, ``pages``, ``presentation``, ``content``, ``importance``.
+    """The style trees of all hosts: ``host``, ``node``, ``pages`` (different ones that have it), ``presentation``, ``content``
+    and ``importance``; the first is null for content nodes.
 
-    Features are counted in each batch before they are shuffled, and are partially aggregated again on the way.
+    Features are told apart in each batch before they are shuffled, and are partially aggregated again on the way. The
+    first shuffle is by feature and page, so that no host and no node gathers in one task.
     """
 
     def run(batch):
-        counts: Counter = Counter()
+        found = set()
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts.update((host, *f) for f in Page(html or "").features())
-        if counts:
-            columns = [*zip(*counts), list(counts.values())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["host", "node", "kind", "feature", "n"])
-
-    rows = map_texts(pages.select(_host(pages[url_col]).alias("host"), pages[html_col].alias("html")), run, "host string, node long, kind int, feature long, n long")
-    features = rows.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
-    of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
+            page = Page(html or "")
+            identity = page.identity()
+            found.update((host, identity, *f) for f in page.features())
+        if found:
+            columns = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["host", "page", "node", "kind", "feature"])
+
+    rows = map_texts(pages.select(_host(pages[url_col]).alias("host"), pages[html_col].alias("html")), run, "host string, page long, node long, kind int, feature long")
+    features = rows.distinct().groupBy("host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
+    features = written(features, "style-features")
+    is_text = F.col("kind").isin(0, 3)
     n = F.col("n").cast("double")
+    of = lambda cond, x: F.sum(F.when(cond, x))
     nodes = features.groupBy("host", "node").agg(
-        of(2, F.col("n")).alias("pages"),
-        of(0, F.log(n)).alias("text_logs"),
-        of(0, F.lit(1)).alias("texts"),
-        of(1, n).alias("sequences_all"),
-        of(1, n * F.log(n)).alias("sequence_logs"),
-        of(1, F.lit(1)).alias("sequences"),
+        of(F.col("kind") == 2, F.col("n")).alias("pages"),
+        of(is_text, F.log(n)).alias("text_logs"),
+        of(is_text, F.lit(1)).alias("texts"),
+        of(F.col("kind") == 1, n).alias("sequences_all"),
+        of(F.col("kind") == 1, n * F.log(n)).alias("sequence_logs"),
+        of(F.col("kind") == 1, F.lit(1)).alias("sequences"),
     )
     m = F.col("pages").cast("double")
     many = F.col("pages") > 1
     damp = F.pow(F.lit(damping), F.coalesce("sequences", F.lit(0)).cast("double"))
-    return (
-        nodes.where(F.col("pages").isNotNull())
-        .withColumn("content", F.when(many, 1 - F.col("text_logs") / F.col("texts") / F.log(m)).otherwise(1.0))
+    elements = (
+        nodes.withColumn("content", F.when(many, 1 - F.col("text_logs") / F.col("texts") / F.log(m)).otherwise(1.0))
         .withColumn("presentation", F.when(many & (F.col("sequences_all") > 0), F.greatest(F.lit(0.0), (F.log("sequences_all") - F.col("sequence_logs") / F.col("sequences_all")) / F.log(m))).otherwise(F.when(many, 0.0).otherwise(1.0)))
         .withColumn("importance", (1 - damp) * F.col("presentation") + damp * F.col("content"))
         .select("host", "node", "pages", "presentation", "content", "importance")
     )
+    elements = written(elements, "style-elements")
+    # A text of one page has importance 1 whatever the node, so only shared ones meet their element.
+    shared = features.where("kind = 3 AND n > 1").select("host", "node", "feature", "n")
+    sizes = elements.where("pages > 1").select("host", "node", "pages")
+    if sizes.count() <= NODES:
+        met = shared.join(F.broadcast(sizes), ["host", "node"])
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        met = shared.withColumn("salt", F.pmod("feature", F.lit(SALTS)).cast("int")).join(sizes.withColumn("salt", salts), ["host", "node", "salt"])
+    value = 1 - F.log(n) / F.log(m)
+    texts = met.select("host", F.col("feature").alias("node"), "pages", F.lit(None).cast("double").alias("presentation"), value.alias("content"), value.alias("importance"))
+    return elements.union(texts)
+
 
+def removed_branches(trees: DataFrame, bars: tuple[float, float, float] = BARS, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, inside, plain, outside): the branches below each bar, a row for each host that has a tree.
 
-def removed_branches(trees: DataFrame, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, nodes): the branches of low importance of each host, where its pages can tell."""
-    per_host = trees.groupBy("host").agg(F.collect_list(F.when((F.col("importance") < threshold) & (F.col("pages") >= least_pages), F.col("node"))).alias("nodes"), F.max(F.when(F.col("pages") >= least_pages, F.col("content"))).alias("varies"))
-    return per_host.where((F.col("varies") >= 0.5) & (F.size("nodes") > 0)).select("host", "nodes")
+    Content nodes count for the first two bars only, and for the third where they are below the second: a host of m pages
+    has at most as many of these as a page has texts times m to the power of bars[1].
+    """
+    least = F.when(F.col("pages") >= least_pages, F.col("importance"))
+    of = lambda cond: F.collect_list(F.when(cond, F.col("node")))
+    element = F.col("presentation").isNotNull()
+    varies = F.max(F.when((F.col("pages") >= least_pages) & element, F.col("content")))
+    some = trees.where((F.col("importance") < bars[1]) | element)
+    per_host = some.groupBy("host").agg(of(least < bars[0]).alias("inside"), of(least < bars[1]).alias("plain"), of((least < bars[1]) | (element & (least < bars[2]))).alias("outside"), varies.alias("varies"))
+    return per_host.where("varies >= 0.5").select("host", "inside", "plain", "outside")
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", bars: tuple[float, float, float] = BARS, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``id_col``, ``url_col`` and ``text`` for each row of ``pages``: its main text, blocks joined by one space.
 
     Character references are decoded, white space inside a block becomes one space. A null html counts as empty and
     gives an empty text, as does a page without main text. Pages with a null url, or one without a host, make up a
     host of their own. Repeated rows give repeated rows; pages are read whole, whatever their length.
     """
-    low = written(removed_branches(importances(pages, url_col, html_col), threshold, least_pages), "style-trees")
+    low = written(removed_branches(importances(pages, url_col, html_col), bars, least_pages), "style-trees")
     kind = pages.schema[id_col].dataType.simpleString()
-    rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), _host(pages[url_col]).alias("host"), pages[html_col].alias("html"))
-    size = low.agg(F.sum(8 * F.size("nodes") + F.length("host") + 32)).first()[0] or 0
+    schema = f"id {kind}, url string, text string"
+    rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"), _host(pages[url_col]).alias("host"))
+    size = low.agg(F.sum(8 * (F.size("inside") + F.size("plain") + F.size("outside")) + F.length("host") + 64)).first()[0] or 0
+
+    def texts(batch, of):
+        got = [Page(html or "").text(of(host)) for html, host in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.string())], ["id", "url", "text"])
+
     if size <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(low), "host", "left")
-    else:
-        salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
-        joined = salted.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
+        trees = {r["host"]: tuple(frozenset(x) for x in r[1:]) for r in low.collect()}
+        sent = pages.sparkSession.sparkContext.broadcast(trees)  # at most BROADCAST_BYTES as a table
 
-    def run(batch):
-        got = [Page(html or "").text(frozenset(nodes or ())) for html, nodes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.string())], ["id", "url", "text"])
+        def run(batch):
+            yield texts(batch, sent.value.get)
 
-    out = map_texts(joined.select("id", "url", "html", "nodes"), run, f"id {kind}, url string, text string", text=2)
+        out = map_texts(rows, run, schema, text=2)
+    else:
+        # A host's tree comes before its pages, once for each piece of the host, and isn't copied onto them.
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).withColumn("bars", F.lit(None).cast("array<array<bigint>>"))
+        first = low.select(F.lit(None).cast(kind).alias("id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "host", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.array("inside", "plain", "outside").alias("bars"))
+        dealt = first.union(salted).repartition("host", "salt").sortWithinPartitions("host", "salt", F.col("bars").isNull())
+
+        def run_sorted(batches):
+            host, tree = None, None
+            for batch in slices(batches, 2):
+                at = 0
+                for i, x in enumerate(batch.column(5).to_pylist()):
+                    if x is not None:
+                        yield texts(batch.slice(at, i - at), lambda h: tree if h == host else None)
+                        host, tree, at = batch.column(3)[i].as_py(), tuple(map(frozenset, x)), i + 1
+                yield texts(batch.slice(at), lambda h: tree if h == host else None)
+
+        out = dealt.mapInArrow(run_sorted, schema)
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
