@@ -25,15 +25,24 @@ HEAD_BYTES = 16
 
 
 def splitters(keys: DataFrame, ranges: int, per_range: int = SAMPLES_PER_RANGE) -> list[tuple]:
-    """``ranges - 1`` boundaries from a sample of the one string column of ``keys``."""
-    n = keys.count()
+    """``ranges - 1`` boundaries from a sample of ``keys`` (k string, size long), so that ranges hold nearly equal sizes.
+
+    A row is sampled by a hash of its key, with a probability in proportion to its size.
+    """
+    n, total = keys.agg(F.count(F.lit(1)), F.sum("size")).first()
     if n == 0 or ranges < 2:
         return []
-    want = per_range * ranges
-    sample = keys if n <= want else keys.sample(fraction=min(1.0, 1.2 * want / n), seed=11)
-    got = sorted(r[0] for r in sample.collect())
-    cut = [got[len(got) * i // ranges] for i in range(1, ranges)] if got else []
-    return [(k,) for k in sorted(set(cut))]
+    rate = per_range * ranges / total
+    share = F.least(F.lit(1.0), F.col("size") * rate)
+    drawn = F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30)
+    # A row that is sure to be drawn stands for its whole size, any other for 1 / rate.
+    got = sorted((r[0], r[1]) for r in keys.where(drawn).select("k", F.greatest(F.lit(1.0), F.col("size") * rate)).collect())
+    whole, before, cut = sum(w for _, w in got), 0.0, set()
+    for k, w in got:
+        if int(before * ranges / whole) != int((before + w) * ranges / whole):
+            cut.add(k)
+        before += w
+    return [(k,) for k in sorted(cut)]
 
 
 def content_sort(
@@ -72,7 +81,7 @@ def content_sort(
     # "-" sorts before the digits, so that the key's order is that of its parts.
     key = F.concat(F.hex(F.substring("body", 1, HEAD_BYTES)), F.lit("-"), sha, F.lit("-"), F.hex(F.coalesce(F.col("id").cast("string"), F.lit(""))))
     ranges = ranges or max(2, shuffle_partitions(spark))
-    cut = splitters(rows.select(key.alias("k")), ranges)
+    cut = splitters(rows.select(key.alias("k"), (F.octet_length("body") + 64).cast("long").alias("size")), ranges)
     dealt = rows.withColumn("text_sha256", sha).withColumn("range", rank_among(cut, (key,), ("string",)))
     # A carried row has its text already, so the normalised bytes are made again after the exchange.
     dealt = (dealt.drop("body") if carry else dealt).repartitionById(len(cut) + 1, F.col("range"))
