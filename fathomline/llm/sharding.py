@@ -7,11 +7,13 @@ until every boundary is within the tolerance of its target. Then rows are exchan
 Rows with equal texts are neighbours in this order. A boundary falls between two texts where the tolerance allows it
 and goes through a group of copies, by id, only where that group is larger than the tolerance.
 Only DataFrame functions are used. Between the driver and the executors go counts for candidates alone:
-``probes`` for each open boundary.
+``probes`` for each gap with an open boundary. The finer pieces in which a shard's rows are numbered are PIECES at most,
+and one candidate is aimed at each of their boundaries.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from fathomline.llm.common import fresh_path, rank_among, shuffle_partitions
 
 LEAST = -(2**63)
+#: Pieces in which rows are numbered, at most; a boundary is two longs.
+PIECES = 20_000
 
 
 @dataclass
@@ -40,11 +44,19 @@ def _between(gap: Gap, probes: int) -> list[tuple[int, int]]:
     return sorted({gap.first, (h1, min(i1 + 1, 2**63 - 1)), *(x for x in inside if x > gap.first)})
 
 
-def histogram_splitters(keys: DataFrame, parts: int, tolerance: float, probes: int = 48) -> tuple[list[tuple[int, int]], list[int]]:
+def _aimed(gap: Gap, target: float) -> tuple[int, int]:
+    """Where a target would lie if a gap's bytes were spread evenly: by the hash while it holds several, then by the id."""
+    (h0, i0), (h1, i1) = gap.first, gap.last
+    part = int(max(1, min((1 << 20) - 1, (target - gap.below) / gap.size * (1 << 20))))
+    return (h0 + max(1, (h1 - h0) * part >> 20), LEAST) if h0 != h1 else (h0, i0 + max(1, (i1 - i0) * part >> 20))
+
+
+def histogram_splitters(keys: DataFrame, parts: int, tolerance: float, probes: int = 48, aimed: bool = False) -> tuple[list[tuple[int, int]], list[int]]:
     """Boundaries (h, id) cutting ``keys`` (h, id, size) into ``parts`` of nearly equal bytes, and the target each serves.
 
     A boundary is accepted when the exact bytes below it are within ``tolerance`` times a part's share of its target,
-    or when the row that spans the target can't be divided; the nearer side of that row is taken then.
+    or when the row that spans the target can't be divided; the nearer side of that row is taken then. With ``aimed``
+    each open boundary has one candidate, its gap's ends and middle, and not ``probes`` a gap.
     """
     stats = [F.sum("size"), F.count(F.lit(1)), F.min(F.struct("h", "id")), F.max(F.struct("h", "id"))]
     total, n, lo, hi = keys.agg(*stats).first()
@@ -53,17 +65,20 @@ def histogram_splitters(keys: DataFrame, parts: int, tolerance: float, probes: i
     share = total / parts
     gaps, chosen = {j: Gap(tuple(lo), tuple(hi), 0, total, n) for j in range(1, parts)}, {}
     while gaps:
-        tries = sorted({p for g in gaps.values() for p in _between(g, probes)})
+        if aimed:
+            tries = sorted({p for j, g in gaps.items() for p in (*_between(g, 2), _aimed(g, j * share))})
+        else:
+            tries = sorted({p for g in gaps.values() for p in _between(g, probes)})
         counted = {r[0]: Gap(tuple(r[3]), tuple(r[4]), 0, r[1], r[2]) for r in keys.groupBy(rank_among(tries, (F.col("h"), F.col("id")), ("long", "long")).alias("bin")).agg(*stats).collect()}
         below, bins = 0, []
         for b in sorted(counted):
             g = counted[b]
             g.below, below = below, below + g.size
             bins.append(g)
-        still = {}
+        still, ends_at = {}, [g.below + g.size for g in bins]
         for j in gaps:
             target = j * share
-            k = next(i for i, g in enumerate(bins) if g.below + g.size >= target)
+            k = bisect_left(ends_at, target)
             g = bins[k]
             ends = [(abs(g.below - target), g.first), (abs(g.below + g.size - target), bins[k + 1].first if k + 1 < len(bins) else None)]
             miss, at = min(ends, key=lambda e: e[0])
@@ -94,8 +109,8 @@ def shards(
 
     The bytes of a shard differ from the mean by the tolerance on either side, and by at most one row more, as rows
     aren't divided. A table with fewer rows than shards leaves some shards empty; an empty table gives none. Null ids
-    come first. Repeated rows share a key and lie next to each other. ``rows_per_task`` bounds the rows that one task
-    numbers: each shard is numbered in that many pieces, whose counts are known.
+    come first. Repeated rows share a key and lie next to each other. A task numbers
+    about ``rows_per_task`` rows, more of them once the pieces are PIECES.
     """
     spark = df.sparkSession
     text = F.coalesce(df[text_col], F.lit(""))
@@ -114,8 +129,8 @@ def shards(
     cuts, order = histogram_splitters(keys, count, tolerance)
     # Finer pieces only bound a task's work, so a loose tolerance does for them.
     n = keys.count()
-    pieces = max(1, -(-n // (count * rows_per_task)), -(-shuffle_partitions(spark) // count))
-    fine, _ = histogram_splitters(keys, count * pieces, 0.5) if n and pieces > 1 else ([], [])
+    pieces = max(1, min(PIECES // count, max(-(-n // (count * rows_per_task)), -(-shuffle_partitions(spark) // count))))
+    fine, _ = histogram_splitters(keys, count * pieces, 0.5, aimed=True) if n and pieces > 1 else ([], [])
     every = sorted(set(cuts) | set(fine))
     shard = rank_among(cuts, (F.col("h"), F.col("id")), ("long", "long"))
     piece = rank_among(every, (F.col("h"), F.col("id")), ("long", "long"))
