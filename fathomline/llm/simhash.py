@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.llm import jaccard
 from fathomline.llm.arrowmap import map_texts
 from fathomline.llm.common import written
 from fathomline.llm.components import components
@@ -142,15 +143,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
     """The rows of ``df`` that stay: of each component the one with the smallest id.
 
-    Rows that share an id stay or go together, and stay if any of them is its component's smallest. Rows with a null id
-    can't be told apart and stay. The ids that go are written and counted: up to GONE of them are broadcast, beyond that
-    the texts are shuffled once to meet them.
+    Links are fingerprints of at most 3 differing bits; with ``similarity`` they are sets of ``width``-word shingles of
+    that Jaccard similarity or more, which fingerprints can't find at any distance a table can be searched for, so
+    that candidates come from ``jaccard.near_duplicates`` instead. Rows that share an id stay or go together, and stay if
+    any of them is its component's smallest. Rows with a null id can't be told apart and stay. Texts that are null or empty
+    are copies of one another. The ids that go are written and counted: up to GONE of them are broadcast, beyond that the
+    texts are shuffled once to meet them.
     """
-    got = near_duplicates(df, id_col, text_col, width)
+    got = near_duplicates(df, id_col, text_col, width) if similarity is None else jaccard.near_duplicates(df, id_col, text_col, width, similarity)
     goes = got.groupBy(F.col(id_col).alias("__goes")).agg(F.max(F.col(id_col) == F.col("component_id")).alias("least")).where("__goes IS NOT NULL AND NOT least").select("__goes")
-    goes = written(goes, "simhash-gone")
+    goes = written(goes, "near-gone")
     goes = F.broadcast(goes) if goes.count() <= GONE else goes
-    return df.join(goes, df[id_col].cast("long") == F.col("__goes"), "left_anti")
+    return df.join(goes, df[id_col].cast("long") == goes["__goes"], "left_anti")
