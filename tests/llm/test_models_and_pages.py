@@ -1,7 +1,10 @@
 """Quality, secrets, pages and the pipeline."""
 
 import itertools
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -60,14 +63,43 @@ def test_quality(spark):
     assert quality.scores(df.limit(0), field).count() == 0 and quality.learn(df, labels.limit(0)).score("some text") == pytest.approx(0.5)
 
 
-def test_long_documents_in_pieces():
+def brute_score(field, text):
+    """Forward-backward over the whole chain, from the feature matrix."""
+    lines = quality.lines_of(text)
+    emit = (quality.features(lines) - field.mean) / field.scale @ field.w
+    size = np.array([len(x) for x in lines], float)
+    return quality._forward_backward(emit[None, :], np.array([len(lines)]), field.t)[0][0] @ size / size.sum()
+
+
+@pytest.mark.parametrize("sticky", [0.0, 9.0])
+def test_long_documents_are_one_chain(sticky, monkeypatch):
     rng = random.Random(3)
     field = quality.train([(good(rng), 1) for _ in range(40)] + [(bad(rng), 0) for _ in range(40)])
+    field.t = field.t + np.diag([sticky, sticky])
     text = "\n".join((good if i % 7 else bad)(rng) for i in range(900))
-    lines = quality.lines_of(text)
-    size = np.array([len(x) for x in lines], float)
-    whole = field.marginals(quality.features(lines)) @ size / size.sum()
-    assert len(lines) > quality.PIECE and field.score(text) == pytest.approx(whole, abs=1e-6)
+    assert len(quality.lines_of(text)) > 2200 and field.score(text) == pytest.approx(brute_score(field, text), abs=1e-9)
+    monkeypatch.setattr(quality, "BLOCK", 7)
+    assert field.score(text) == pytest.approx(brute_score(field, text), abs=1e-9)
+    assert field.score("one line") == pytest.approx(brute_score(field, "one line"))
+
+
+def test_chain_equals_batched_messages():
+    rng = np.random.default_rng(2)
+    emit, t = rng.normal(size=40) * 5, rng.normal(size=(2, 2))
+    (p, pairs), (q, expected) = quality._chain(emit, t), quality._forward_backward(emit[None, :], np.array([40]), t)
+    assert np.allclose(p, q[0]) and np.allclose(pairs, expected)
+    assert np.isfinite(quality._chain(np.full(3000, 1e4), np.diag([30.0, 30.0]))[0]).all()
+
+
+def test_training_takes_long_chains_and_empty_texts(monkeypatch):
+    rng = random.Random(4)
+    docs = [(good(rng), 1) for _ in range(30)] + [(bad(rng), 0) for _ in range(30)] + [(None, 1), ("", 1), (" \n", 1), ("", 0)]
+    docs.append(("\n".join(good(rng) for _ in range(200)), 1))
+    field = quality.train(docs)
+    assert field.score("") == field.score(None) == 0.75
+    monkeypatch.setattr(quality, "LONG", 10**9)
+    other = quality.train(docs)
+    assert np.allclose(field.w, other.w) and np.allclose(field.t, other.t)
 
 
 def test_secrets_held_out(spark):
@@ -87,6 +119,28 @@ def test_secrets_held_out(spark):
     clean = {r.doc_id: r.text for r in secrets.redact(df, model).collect()}
     assert "[SECRET]" in clean[3] and "[SECRET]" in clean[5] and clean[4] == rows[3][1] and clean[1] is None
     assert secrets.scan(df.limit(0), model).count() == 0
+    # Short, lettered and broken values count where they are assigned to a name.
+    some = [(1, "my password: hunter2x!Zq next"), (2, 'api_key="qzvkwhrtxmpgkdzwqrth"'), (3, "the passage of important considerations"), (4, "token = 'Qx7!kd9$Lm2'")]
+    found = {r.doc_id: (r.length, r.is_secret) for r in secrets.scan(spark.createDataFrame(some, "doc_id long, text string"), model).collect()}
+    assert found == {1: (11, True), 2: (20, True), 4: (11, True)}
+
+
+def test_secret_features(spark):
+    """Features of made-up findings against plain Python."""
+    rows = secrets.features(secrets.candidates(secrets.labelled_findings(spark, 400), "text", "path")).collect()
+    costs = secrets.transition_costs()
+    for r in rows:
+        c = r.core
+        kinds = "".join("d" if x.isdigit() else "l" if x.islower() else "u" if x.isupper() else "s" for x in c)
+        pairs = [c.lower()[i : i + 2] for i in range(len(c) - 1) if re.fullmatch("[a-z]{2}", c.lower()[i : i + 2])]
+        assert r.length == pytest.approx(math.log(len(c))) and r.digits == pytest.approx(kinds.count("d") / len(c)) and r.uppers == pytest.approx(kinds.count("u") / len(c))
+        assert r.changes == pytest.approx(1 - sum(a == b for a, b in zip(kinds, kinds[1:])) / len(c))
+        assert r.repeats == pytest.approx(sum(a == b for a, b in zip(c, c[1:])) / len(c))
+        assert r.steps == pytest.approx(sum(ord(b) - ord(a) == 1 for a, b in zip(c, c[1:])) / len(c))
+        assert r.distinct == pytest.approx(len(set(c)) / len(c))
+        assert r.transitions == pytest.approx(sum(costs.get(p, costs[""]) for p in pairs) / max(1, len(pairs)), abs=1e-3)
+        rest = re.sub("|".join(sorted(secrets.DICTIONARY, key=lambda w: (-len(w), w))), "", c.lower())
+        assert r.covered == pytest.approx((len(c) - len(rest)) / len(c))
     with pytest.raises(ValueError):
         secrets.train(made.where("label = 1"))
 
@@ -118,7 +172,58 @@ def test_page_text(html, text):
     assert Page(html).text() == text
 
 
-def test_style_tree(spark):
+def brute_trees(rows):
+    """Importances by their definitions, from plain dictionaries: {host: ({element: importance}, {(element, text): importance})}."""
+    sites = {}
+    for _, url, html in rows:
+        host = re.match(r"(?i)[a-z]+://([^/]*)", url or "")
+        page = Page(html or "")
+        elements, texts, sequences = set(), set(), {}
+        for text, path, furniture, _ in page.blocks:
+            if not furniture and path:
+                elements.update(path)
+                texts.update((node, text, node == path[-1]) for node in path)
+        for node, labels in page.children.items():
+            if node in elements:
+                sequences[node] = "/".join(k for k, _ in itertools.groupby(labels))
+        sites.setdefault(host[1].lower() if host else "", {}).setdefault(page.identity(), []).append((elements, texts, sequences))
+    out = {}
+    for host, identities in sites.items():
+        pages = [(set().union(*(x[0] for x in g)), set().union(*(x[1] for x in g)), {(n, s) for x in g for n, s in x[2].items()}) for g in identities.values()]
+        m = Counter(n for p in pages for n in p[0])
+        with_text = Counter(t for p in pages for t in p[1])
+        with_sequence = Counter(x for p in pages for x in p[2])
+        elements = {}
+        for node, k in m.items():
+            if k == 1:
+                content, presentation = 1.0, 1.0
+            else:
+                # a text at a node both directly and further below counts as two
+                content = np.mean([1 - math.log(c) / math.log(k) for (n, _, _), c in with_text.items() if n == node])
+                counts = [c for (n, _), c in with_sequence.items() if n == node]
+                shares = [c / sum(counts) for c in counts]
+                presentation = -sum(x * math.log(x) for x in shares) / math.log(k) if counts else 0.0
+            damp = 0.9 ** sum(n == node for n, _ in with_sequence)
+            elements[node] = (k, content, (1 - damp) * presentation + damp * content)
+        texts = {(n, t): 1 - math.log(c) / math.log(m[n]) for (n, t, leaf), c in with_text.items() if leaf and m[n] > 1}
+        out[host] = m, elements, texts
+    return out
+
+
+def brute_text(row, trees):
+    host = re.match(r"(?i)[a-z]+://([^/]*)", row[1] or "")
+    m, elements, texts = trees[host[1].lower() if host else ""]
+    told = any(k >= 8 and content >= 0.5 for k, content, _ in elements.values())
+    page, out = Page(row[2] or ""), []
+    for text, path, furniture, main in page.blocks:
+        bar = 0.05 if main else 0.6 if page.has_main else 0.3
+        low = any(elements[n][0] >= 8 and elements[n][2] < bar for n in path if n in elements) or (path and m[path[-1]] >= 8 and texts.get((path[-1], text), 1) < min(bar, 0.3))
+        if not furniture and (not low if told else main or not page.has_main):
+            out.append(text)
+    return " ".join(out)
+
+
+def page_rows():
     rng = random.Random(4)
     rows = []
     for i in range(30):
@@ -126,23 +231,41 @@ def test_style_tree(spark):
         rows.append((i, "http://h.example/a" if i % 2 else "HTTPS://h.example/b?x", f"<div class=top>Welcome to the site</div><div class=text>{body}</div><div class=end>All rights kept</div>"))
     rows += [(100, "http://one.example/", rows[0][2]), (101, None, "<p>no url</p>"), (102, "http://h.example/", None), (103, "not a url", "")]
     rows += [(200 + i, "http://copies.example/", "<div><p>The same page</p></div>") for i in range(20)]
+    # Unclassed boilerplate inside the article, a lead before it, a line around it, and copies and near copies of one article.
+    for i in range(40):
+        words = [rng.choice("the of house river green walk under light stone garden".split()) + str(rng.randrange(200)) for _ in range(90)] if i < 20 or i == 30 else words
+        copy = list(words)
+        if i > 30:
+            copy[rng.randrange(60)] = "other"
+        paragraphs = "".join(f"<p>{' '.join(copy[k : k + 30])}</p>" for k in (0, 30, 60))
+        rows.append((300 + i, "http://main.example/", f"<section>Site of the town</section><section><p>Lead of {copy[0]} and {copy[1]} {i}</p></section><article><h1>Title {copy[2]}</h1>{paragraphs}<p>Tell your friends of us</p></article><nav>menu</nav>"))
+    return rows
+
+
+@pytest.mark.parametrize("broadcast", [8 << 20, -1])
+def test_style_tree(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(style_tree, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(style_tree, "NODES", max(0, broadcast))
+    rows = page_rows()
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     out = {r.page_id: r.text for r in style_tree.main_text(df).collect()}
-    assert len(out) == len(rows)
+    trees = brute_trees(rows)
+    assert out == {r[0]: brute_text(r, trees) for r in rows}
     assert all("Welcome" not in out[i] and "rights" not in out[i] and out[i].count(str(i)) >= 3 for i in range(30))
     assert out[100].startswith("Welcome")  # one page says nothing about its host
     assert out[101] == "no url" and out[102] == "" and out[103] == "" and all(out[200 + i] == "The same page" for i in range(20))
-    trees = {(r.host, r.node): r for r in style_tree.importances(df).where("host = 'h.example'").collect()}
-    node = Page(rows[0][2]).blocks[0][1][0]
-    assert trees["h.example", node].pages == 30 and trees["h.example", node].content == pytest.approx(0)
+    for i in range(300, 340):
+        assert out[i].startswith("Lead of") and out[i].endswith(re.findall(r"<p>([^<]*)</p><p>Tell", dict((r[0], r[2]) for r in rows)[i])[0])
+    got = {(r.host, r.node): r for r in style_tree.importances(df).collect()}
+    for host, (m, elements, texts) in trees.items():
+        for node, (k, content, importance) in elements.items():
+            r = got[host, node]
+            assert r.pages == k and r.content == pytest.approx(content) and r.importance == pytest.approx(importance)
+    # Without the tree, priors alone decide.
+    assert "Tell your friends" in Page(rows[-1][2]).text() and "Lead" not in Page(rows[-1][2]).text()
     assert style_tree.main_text(df.limit(0)).count() == 0
 
 
-def test_style_tree_joins_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(style_tree, "BROADCAST_BYTES", -1)
-    test_style_tree(spark)
-
-
 def test_pipeline(spark, tmp_path):
     rng = random.Random(5)
     rows = [(i, good(rng) + f"\nNumber {i} of the walks under {rng.random()}.") for i in range(120)] + [(200 + i, bad(rng)) for i in range(40)]
