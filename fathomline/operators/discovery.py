@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,29 +163,70 @@ def hmm_forward(obs: np.ndarray, start: np.ndarray, trans: np.ndarray, emit: np.
     return out
 
 
-def baum_welch(sequences: list[np.ndarray], states: int, symbols: int, rounds: int = 20, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, transition and emission probabilities fitted to a bounded sample of sequences."""
+def _first_model(states: int, symbols: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    start, trans, emit = np.full(states, 1 / states), 0.7 * np.eye(states) + 0.3 * rng.dirichlet(np.ones(states) * 5, states), rng.dirichlet(np.ones(symbols) * 5, states)
+    return np.full(states, 1 / states), 0.7 * np.eye(states) + 0.3 * rng.dirichlet(np.ones(states) * 5, states), rng.dirichlet(np.ones(symbols) * 5, states)
+
+
+def _expected(sequences, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, transitions and emissions of sequences under a model."""
+    start, trans, emit = model
+    states = len(start)
+    s, t, e = np.zeros(states), np.zeros((states, states)), np.zeros(emit.shape)
+    for o in sequences:
+        f, b = np.zeros((len(o), states)), np.ones((len(o), states))
+        for i, x in enumerate(o):
+            f[i] = (start if i == 0 else f[i - 1] @ trans) * emit[:, x]
+            f[i] /= max(f[i].sum(), 1e-300)
+        for i in range(len(o) - 2, -1, -1):
+            b[i] = trans @ (emit[:, o[i + 1]] * b[i + 1])
+            b[i] /= max(b[i].sum(), 1e-300)
+        g = f * b
+        g /= g.sum(axis=1, keepdims=True)
+        s += g[0]
+        np.add.at(e.T, o, g)
+        x = f[:-1, :, None] * trans * (emit[:, o[1:]].T * b[1:])[:, None, :]
+        t += (x / np.maximum(x.sum(axis=(1, 2), keepdims=True), 1e-300)).sum(axis=0)
+    return s, t, e
+
+
+def _normalised(s: np.ndarray, t: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    s, t, e = s + 1e-3, t + 1e-3, e + 1e-3
+    return s / s.sum(), t / t.sum(axis=1, keepdims=True), e / e.sum(axis=1, keepdims=True)
+
+
+def baum_welch(sequences: list[np.ndarray], states: int, symbols: int, rounds: int = 20, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, transition and emission probabilities fitted to sequences in memory."""
+    model = _first_model(states, symbols, seed)
+    for _ in range(rounds):
+        model = _normalised(*_expected(sequences, model))
+    return model
+
+
+def fit_hmm(df: DataFrame, keys: list[str | Column], order: str, symbol: str, states: int, symbols: int, rounds: int = 20, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``baum_welch`` on all rows of ``df``: a sequence for each value of ``keys``, which should bound its length.
+
+    Expectations are summed up in each partition; each round brings the driver the sums of a model's numbers.
+    """
+    keys = [(F.col(k) if isinstance(k, str) else k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    pieces = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(symbol).alias("s")))).alias("p")).select(F.transform("p", lambda x: x["s"]).alias("s")).persist()
+    model = _first_model(states, symbols, seed)
+    sizes = [states, states * states, states * symbols]
     for _ in range(rounds):
-        s, t, e = np.full(states, 1e-3), np.full((states, states), 1e-3), np.full((states, symbols), 1e-3)
-        for o in sequences:
-            f, b = np.zeros((len(o), states)), np.ones((len(o), states))
-            for i, x in enumerate(o):
-                f[i] = (start if i == 0 else f[i - 1] @ trans) * emit[:, x]
-                f[i] /= max(f[i].sum(), 1e-300)
-            for i in range(len(o) - 2, -1, -1):
-                b[i] = trans @ (emit[:, o[i + 1]] * b[i + 1])
-                b[i] /= max(b[i].sum(), 1e-300)
-            g = f * b
-            g /= g.sum(axis=1, keepdims=True)
-            s += g[0]
-            np.add.at(e.T, o, g)
-            for i in range(len(o) - 1):
-                x = f[i][:, None] * trans * (emit[:, o[i + 1]] * b[i + 1])
-                t += x / max(x.sum(), 1e-300)
-        start, trans, emit = s / s.sum(), t / t.sum(axis=1, keepdims=True), e / e.sum(axis=1, keepdims=True)
-    return start, trans, emit
+
+        def sums(batches, model=model):
+            total = np.zeros(sum(sizes))
+            for batch in batches:
+                got = _expected([np.array(x, int) for x in batch.column(0).to_pylist()], model)
+                total += np.concatenate([x.ravel() for x in got])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["i", "x"])
+
+        rows = {r["i"]: r["x"] for r in pieces.mapInArrow(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()}
+        flat = np.array([rows.get(i, 0.0) for i in range(sum(sizes))])
+        s, t, e = np.split(flat, np.cumsum(sizes)[:-1])
+        model = _normalised(s, t.reshape(states, states), e.reshape(states, symbols))
+    pieces.unpersist()
+    return model
 
 
 def viterbi(obs: np.ndarray, start: np.ndarray, trans: np.ndarray, emit: np.ndarray) -> np.ndarray:
@@ -211,24 +253,69 @@ def decoded_states(df: DataFrame, key: str, order: str, symbol: str, model: tupl
     return df.select(key, order, symbol).groupBy(key).applyInPandas(one, f"{key} {df.schema[key].dataType.simpleString()}, {order} {df.schema[order].dataType.simpleString()}, state int")
 
 
+def _episodes(t: np.ndarray, gap: int, until: int | None) -> tuple[np.ndarray, int | None]:
+    """Anchors of the ascending times ``t`` that begin an episode, given when the one before ends, and when the last ends."""
+    anchors, at = [], 0 if until is None else int(np.searchsorted(t, until, "right"))
+    while at < len(t):
+        anchors.append(int(t[at]))
+        until = anchors[-1] + gap
+        at = int(np.searchsorted(t, until, "right"))
+    return np.array(anchors, np.int64), until
+
+
 def lead_lag(entries: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
     """Episodes of entries, each anchored at its first entry and ``gap_seconds`` long; for each key the number of episodes it
-    takes part in, how often it is first, and its mean delay. Entries are few: they are state changes."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, anchor, seen = [], None, set()
-        for k, t in pdf.sort_values([ts, key])[[key, ts]].itertuples(index=False):
-            if anchor is None or (t - anchor).total_seconds() > gap_seconds:
-                anchor, seen = t, set()
-            if k not in seen:
-                out.append((k, len(seen) == 0, (t - anchor).total_seconds()))
-                seen.add(k)
-        return pd.DataFrame(out, columns=[key, "first", "delay"])
-
-    e = entries.select(key, F.col(ts).cast("timestamp").alias(ts), F.to_date(ts).alias("_day"))
-    # Episodes are cut at days, so that days run in parallel.
-    got = e.groupBy("_day").applyInPandas(one, f"{key} {entries.schema[key].dataType.simpleString()}, first boolean, delay double")
-    return got.groupBy(key).agg(F.count(F.lit(1)).alias("episodes"), F.count(F.when(F.col("first"), 1)).alias("led"), F.avg("delay").alias("mean_delay_s"))
+    takes part in, how often it is first (of keys at the same time, the smallest), and its mean delay.
+
+    Times are cut into pieces of eight gaps. A piece says where the last episode ends for each time at which the one before
+    it may end; the driver follows these ends from piece to piece, a few numbers each. Then every piece knows its anchors,
+    and what an episode has in several pieces meets in an aggregate. An episode thus runs on over any cut.
+    """
+    gap, kind = gap_seconds * 1_000_000, entries.schema[key].dataType.simpleString()
+    e = entries.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).withColumn("piece", F.floor(F.col("t") / (8 * gap)))
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, piece = np.unique(pdf["t"].to_numpy(np.int64)), int(pdf["piece"].iloc[0])
+        # Only ends inside the piece's first gap are possible besides none at all; equal results are one row.
+        starts = [None, *t[t <= piece * 8 * gap + gap].tolist()]
+        out, last = [], object()
+        for s in starts:
+            end = _episodes(t, gap, s)[1]
+            if end != last:
+                out.append((piece, s, end))
+                last = end
+        return pd.DataFrame(out, columns=["piece", "since", "until"])
+
+    table: dict[int, list] = {}
+    for r in e.groupBy("piece").applyInPandas(ends, "piece long, since long, until long").collect():
+        table.setdefault(r["piece"], []).append((r["since"], r["until"]))
+    until, before = None, []
+    for piece in sorted(table):
+        before.append((piece, until))
+        known = sorted((s, u) for s, u in table[piece] if s is not None)
+        first = next(u for s, u in table[piece] if s is None)
+        if until is None or until < piece * 8 * gap:
+            until = first
+        else:
+            reach = [u for s, u in known if s <= until]
+            until = max(until, reach[-1] if reach else first)
+    schema = "piece long, before long"
+    given = e.join(F.broadcast(entries.sparkSession.createDataFrame(before, schema)), "piece")  # two numbers a piece
+
+    def anchored(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, start = pdf["t"].to_numpy(np.int64), pdf["before"].iloc[0]
+        start = None if pd.isna(start) else int(start)
+        anchors, _ = _episodes(np.unique(t), gap, start)
+        if start is not None:
+            anchors = np.concatenate(([start - gap], anchors))
+        own = anchors[np.searchsorted(anchors, t, "right") - 1]
+        return pd.DataFrame({"anchor": own, "key": pdf["key"], "t": t}).groupby(["anchor", "key"], as_index=False)["t"].min()
+
+    got = given.groupBy("piece").applyInPandas(anchored, f"anchor long, key {kind}, t long").groupBy("anchor", "key").agg(F.min("t").alias("t"))
+    led = got.groupBy("anchor").agg(F.min(F.struct("t", "key")).alias("_first"))
+    got = got.join(led, "anchor")
+    delay = (F.col("t") - F.col("anchor")) / 1_000_000
+    return got.groupBy(F.col("key").alias(key)).agg(F.count(F.lit(1)).alias("episodes"), F.count(F.when(F.col("_first.key") == F.col("key"), 1)).alias("led"), F.avg(delay).alias("mean_delay_s"))
 
 
 def conditional_predictability(df: DataFrame, x: str, y: str, z: str, keys: list[str], buckets: int = 3) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from hashlib import sha256
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from fathomline.functions.numeric import nan_to_null, ratio
 from fathomline.functions.windows import drop_halo, rows, sequenced
 from fathomline.operators.algorithms import Algorithm, register
-from fathomline.operators.backtest import purged_splits, sharpe
+from fathomline.operators.backtest import sharpe
 from fathomline.operators.stats import benjamini_hochberg, normal_p, spearman, t_statistic
 
 
@@ -164,15 +165,24 @@ def ic_table(df: DataFrame, features: list[str], forwards: list[str], keys: list
     return benjamini_hochberg(ic.withColumn("p", normal_p(t_statistic(F.col("ic"), F.col("n")))))
 
 
-def purged_scores(df: DataFrame, pnl: str, number: str, n: int, groups: int, test: int, embargo: int) -> DataFrame:
-    """In-sample and out-of-sample Sharpe ratios of every combinatorial purged split of rows numbered 0 .. n - 1 (few: daily
-    bars); a split is a set of row ranges."""
-    spark = df.sparkSession
-    splits = [(i, [int(x) for x in train], [int(x) for x in held]) for i, (train, held) in enumerate(purged_splits(n, groups, test, embargo))]
-    s = spark.createDataFrame(splits, "split int, train array<int>, held array<int>")
-    side = s.select("split", F.explode("train").alias(number), F.lit("is").alias("side")).union(s.select("split", F.explode("held").alias(number), F.lit("oos").alias("side")))
-    j = df.select(F.col(number).cast("int").alias(number), pnl).join(side, number)
-    return j.groupBy("split").agg(sharpe(F.when(F.col("side") == "is", F.col(pnl))).alias("is_sharpe"), sharpe(F.when(F.col("side") == "oos", F.col(pnl))).alias("oos_sharpe"))
+def purged_scores(df: DataFrame, pnl: str, number: str, keys: list[str], groups: int, test: int, embargo: int) -> DataFrame:
+    """For each key and combinatorial purged split: in-sample and out-of-sample Sharpe ratios.
+
+    A key's rows are numbered 0 .. n - 1 and cut into ``groups`` blocks; a split holds out ``test`` of them, and leaves out
+    training rows within ``embargo`` rows of a held-out block. Rows meet their splits where they are and are aggregated
+    before the shuffle.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    d = df.join(F.broadcast(counts), keys)  # a row for each key
+    i = F.col(number)
+    edge = lambda g: F.floor(F.col("_rows") * g / groups)
+    own = F.size(F.filter(F.sequence(F.lit(1), F.lit(groups - 1)), lambda g: edge(g) <= i))
+    picks = F.array(*[F.array(*[F.lit(g) for g in p]) for p in combinations(range(groups), test)])
+    d = d.withColumn("_own", own).select(*keys, pnl, i.alias("_i"), "_own", "_rows", F.posexplode(picks).alias("split", "_pick"))
+    held = F.array_contains("_pick", F.col("_own"))
+    i_ = F.col("_i")
+    near = F.exists("_pick", lambda g: (i_ >= edge(g) - embargo) & (i_ < edge(g + 1) + embargo))
+    return d.groupBy(*keys, "split").agg(sharpe(F.when(~near, F.col(pnl))).alias("is_sharpe"), sharpe(F.when(held, F.col(pnl))).alias("oos_sharpe"))
 
 
 def trailing_losses(df: DataFrame, keys: list[str], order: list, pnl: str) -> DataFrame:

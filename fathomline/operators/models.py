@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +82,61 @@ def gap_statistic(x: np.ndarray, most: int = 8, draws: int = 10, seed: int = 0)
     return out
 
 
+def _uniform(row: np.ndarray, draw: int, dims: int) -> np.ndarray:
+    """Numbers from 0 to 1 for each row, the same whenever a task runs: a hash of row, draw and dimension."""
+    h = row.view(np.uint64)[:, None] + (np.arange(dims, dtype=np.uint64)[None, :] + np.uint64(1 + draw * dims)) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(odd)
+    return (h ^ (h >> np.uint64(31))).astype(np.float64) / 2.0**64
+
+
+def gap_by_rows(df: DataFrame, vector: str, most: int = 8, draws: int = 10, rounds: int = 15, seed: int = 0) -> DataFrame:
+    """(k, gap, error) over all rows: log dispersion of uniform points in the bounding box, as many as there are rows, less
+    that of the data, for k-means with 1 to ``most`` centres.
+
+    All clusterings, of the data and of every draw, take a round together: a partition sums up its rows for each centre, and
+    the driver gets the sums. Points are made from the rows' numbers where they are needed.
+    """
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).withColumn("h", F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)))
+    box = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("i").collect()
+    lo, hi, d = np.array([r["lo"] for r in box]), np.array([r["hi"] for r in box]), len(box)
+    first = np.array([r["v"] for r in rows.orderBy("h").limit(most).select("v").collect()])
+    rng = np.random.default_rng(seed)
+    starts = [first, *(rng.uniform(lo, hi, (most, d)) for _ in range(draws))]
+    models = {(s, k): starts[s][:k] for s in range(draws + 1) for k in range(1, min(most, len(first)) + 1)}
+    out = {}
+    for _ in range(rounds):
+
+        def sums(batches, models=models):
+            total = {m: np.zeros((len(c), d + 2)) for m, c in models.items()}
+            for batch in batches:
+                v = np.stack(batch.column(0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.empty((0, d))
+                for s in range(draws + 1):
+                    x = v if s == 0 else lo + _uniform(batch.column(1).to_numpy(), s, d) * (hi - lo)
+                    square = (x * x).sum(axis=1)
+                    for k in range(1, most + 1):
+                        if (s, k) in models:
+                            c = models[s, k]
+                            away = np.maximum(square[:, None] - 2 * x @ c.T + (c * c).sum(axis=1), 0)
+                            own = away.argmin(axis=1)
+                            hot = np.eye(len(c))[own]
+                            total[s, k] += np.hstack((hot.T @ x, hot.sum(axis=0)[:, None], (hot * away).sum(axis=0)[:, None]))
+            flat = np.concatenate([total[m].ravel() for m in models])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], ["i", "x"])
+
+        got = rows.mapInArrow(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")["x"].to_numpy()
+        at, new = 0, {}
+        for m, c in models.items():
+            part = got[at : at + len(c) * (d + 2)].reshape(len(c), d + 2)
+            at += part.size
+            new[m] = np.where(part[:, d : d + 1] > 0, part[:, :d] / np.maximum(part[:, d : d + 1], 1), c)
+            out[m] = math.log(max(part[:, d + 1].sum(), 1e-300))
+        models = new
+    ks = sorted({k for _, k in models})
+    table = [(k, float(np.mean([out[s, k] for s in range(1, draws + 1)]) - out[0, k]), float(np.std([out[s, k] for s in range(1, draws + 1)]) * math.sqrt(1 + 1 / draws))) for k in ks]
+    return df.sparkSession.createDataFrame(table, "k int, gap double, error double")
+
+
 def band_passed(x: np.ndarray, low: float, high: float) -> np.ndarray:
     """The part of a series with frequencies from ``low`` to ``high`` (cycles a row), without a shift in phase."""
     f = np.fft.rfftfreq(len(x))
@@ -129,8 +185,3 @@ def maker_by_key(df: DataFrame, price: str, key: str, order: str, halves: tuple[
         return pd.DataFrame([{key: pdf[key].iloc[0], "half": h, "fee": f, **touch_maker(p, h, fee=f)} for h in halves for f in fees])
 
     return df.select(key, order, price).groupBy(key).applyInPandas(one, f"{key} {df.schema[key].dataType.simpleString()}, half double, fee double, fills double, inventory double, pnl double")
-
-
-def sampled(df: DataFrame, vector: str, rows: int = 500) -> np.ndarray:
-    """The vectors of the rows with the smallest hashes, at most ``rows``: what the bounded fits are fitted on."""
-    return np.array([r[0] for r in df.select(vector).orderBy(F.xxhash64(F.col(vector).cast("string"))).limit(rows).collect()], float)

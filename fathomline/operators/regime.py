@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,3 +98,37 @@ def fit_mixture(x: np.ndarray, k: int, rounds: int = 50, seed: int = 0) -> Mixtu
         w, means = n / n.sum(), (r.T @ z) / n[:, None]
         cov = np.stack([((z - means[j]) * r[:, j : j + 1]).T @ (z - means[j]) / n[j] + 1e-6 * np.eye(z.shape[1]) for j in range(k)])
     return Mixture(mean, scale, w, means, cov)
+
+
+def fit_mixture_rows(df: DataFrame, columns: list[str], k: int, rounds: int = 30) -> Mixture:
+    """``fit_mixture`` on all rows of ``df`` that have no null: a round sums up each partition's responsibilities, and the
+    driver gets the sums of a mixture's numbers. Centres start at the smallest row and then at the farthest ones."""
+    d, c = len(columns), [F.col(x).cast("double") for x in columns]
+    rows = df.select(*[x.alias(f"x{i}") for i, x in enumerate(c)]).dropna()
+    got = rows.agg(*[F.avg(f"x{i}") for i in range(d)], *[F.stddev_pop(f"x{i}") for i in range(d)]).first()
+    mean, scale = np.array([x or 0.0 for x in got[:d]]), np.array([x if x and x > 1e-12 else 1.0 for x in got[d:]])
+    z = rows.select(*[((F.col(f"x{i}") - float(mean[i])) / float(scale[i])).alias(f"z{i}") for i in range(d)]).persist()
+    means = np.array([z.agg(F.min(F.struct("*"))).first()[0]], float)
+    while len(means) < k:
+        away = F.least(*[sum((F.pow(F.col(f"z{i}") - float(m[i]), F.lit(2)) for i in range(d)), F.lit(0.0)) for m in means], F.lit(float("inf")))
+        means = np.vstack((means, np.array(z.agg(F.max_by(F.struct("*"), F.struct(away, F.struct("*")))).first()[0], float)))
+    cov, w = np.stack([np.eye(d)] * k), np.full(k, 1 / k)
+    for _ in range(rounds):
+
+        def sums(batches, w=w, means=means, cov=cov):
+            total = np.zeros((k, 1 + d + d * d))
+            for batch in batches:
+                x = np.column_stack([batch.column(i).to_numpy() for i in range(d)])
+                logs = np.stack([np.log(w[j]) - 0.5 * (np.linalg.slogdet(cov[j])[1] + np.einsum("ij,jk,ik->i", x - means[j], np.linalg.inv(cov[j]), x - means[j])) for j in range(k)], axis=1)
+                r = np.exp(logs - logs.max(axis=1, keepdims=True))
+                r /= r.sum(axis=1, keepdims=True)
+                total += np.hstack((r.sum(axis=0)[:, None], r.T @ x, np.einsum("ij,ia,ib->jab", r, x, x).reshape(k, d * d)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], ["i", "x"])
+
+        flat = {r["i"]: r["x"] for r in z.mapInArrow(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()}
+        total = np.array([flat[i] for i in range(k * (1 + d + d * d))]).reshape(k, -1)
+        n = total[:, 0] + 1e-9
+        w, means = n / n.sum(), total[:, 1 : 1 + d] / n[:, None]
+        cov = np.stack([total[j, 1 + d :].reshape(d, d) / n[j] - np.outer(means[j], means[j]) + 1e-6 * np.eye(d) for j in range(k)])
+    z.unpersist()
+    return Mixture(mean, scale, w, means, cov)

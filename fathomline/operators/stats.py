@@ -219,11 +219,11 @@ def ksg(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     return float(max(0.0, (_digamma(np.array([k]))[0] + _digamma(np.array([n]))[0] - total / n) / math.log(2)))
 
 
-def ksg_by_key(df: DataFrame, x: str, y: str, key: str, sample: int = 2000, nulls: int = 20) -> DataFrame:
-    """``ksg`` for each key on at most ``sample`` rows (those with the smallest hashes), z and p against shuffles that are
-    seeded by the key."""
+def ksg_by_key(df: DataFrame, x: str, y: str, key: str, sample: int | None = None, nulls: int = 20) -> DataFrame:
+    """``ksg`` for each key on all its rows, or on ``sample`` of them (those with the smallest hashes), z and p against
+    seeded shuffles. Neighbours are exact, found in blocks, so that a key's rows take memory in proportion to their number."""
     w = Window.partitionBy(key).orderBy(F.xxhash64(x, y), x, y)
-    some = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, x, y).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= sample)
+    some = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, x, y).withColumn("_k", F.row_number().over(w)).where(F.lit(True) if sample is None else F.col("_k") <= sample)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_k")

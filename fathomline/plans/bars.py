@@ -151,11 +151,8 @@ def regime_scores(spark, sf_dir):
 
 @register("regime_mixture")
 def regime_mixture(spark, sf_dir):
-    import numpy as np
-
     daily = bars.vwap_bars(trades(spark, sf_dir), DAY).select("symbol", "bar", "vwap", "buy_share", F.col("trades").cast("double").alias("n"))
-    sample = daily.orderBy(F.xxhash64("symbol", "bar")).limit(2000).collect()  # the bound of what the mixture is fitted on
-    model = regime.fit_mixture(np.array([[r["vwap"], r["buy_share"], r["n"]] for r in sample], float), 3)
+    model = regime.fit_mixture_rows(daily, ["vwap", "buy_share", "n"], 3)
     p = model.probabilities([F.col("vwap"), F.col("buy_share"), F.col("n")])
     return rounded(daily.select("symbol", "bar", *[x.alias(f"p{i}") for i, x in enumerate(p)]), 4)
 

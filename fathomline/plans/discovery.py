@@ -147,18 +147,21 @@ def principal_components(spark, sf_dir):
 @register("hmm_states")
 def hmm_states(spark, sf_dir):
     e = read(spark, sf_dir, "events").withColumn("s", F.array_position(F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")]), F.col("event_type")).cast("int") - 1)
-    # the bound of what is fitted on: the sequences of 20 users
-    rows_ = e.where("user_id < 20").orderBy("user_id", "event_id").select("user_id", "s").collect()
-    by: dict[int, list[int]] = {}
-    for r in rows_:
-        by.setdefault(r["user_id"], []).append(r["s"])
-    model = discovery.baum_welch([np.array(v) for v in by.values()], 2, 5, rounds=5)
+    # all users' events, in sequences of a month
+    model = discovery.fit_hmm(e, ["user_id", F.date_trunc("month", "ts")], "event_id", "s", 2, 5, rounds=5)
     return discovery.decoded_states(e, "user_id", "event_id", "s", model)
 
 
-@register("lead_lag")
+@register(
+    "lead_lag",
+    f"""WITH RECURSIVE {TRADES}, n AS (SELECT DISTINCT ts, min(ts) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 3600000001 MICROSECONDS FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM trades),
+    anchors AS (SELECT min(ts) AS anchor FROM n UNION ALL SELECT next FROM anchors JOIN n ON n.ts = anchor WHERE next IS NOT NULL),
+    e AS (SELECT anchor, symbol, min(ts) AS ts FROM trades JOIN anchors ON ts >= anchor AND ts <= anchor + INTERVAL 3600 SECOND GROUP BY 1, 2),
+    f AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY ts, symbol) AS k FROM e)
+    SELECT symbol, count(*) AS episodes, count(*) FILTER (k = 1) AS led, round(avg(epoch_us(ts) - epoch_us(anchor)) / 1e6, 6) AS mean_delay_s FROM f GROUP BY 1""",
+)
 def lead_lag(spark, sf_dir):
-    return rounded(discovery.lead_lag(trades(spark, sf_dir).where("price > 200"), "symbol", "ts", 3600))
+    return rounded(discovery.lead_lag(trades(spark, sf_dir), "symbol", "ts", 3600))
 
 
 @register(

@@ -117,11 +117,21 @@ def ic_table(spark, sf_dir):
     return rounded(extras.ic_table(p, ["momentum", "volume", "ret"], ["fwd_1", "fwd_5"], ["symbol"]))
 
 
-@register("purged_validation")
+_SHARPE = "CASE WHEN stddev_samp({0}) > 0 THEN avg({0}) / stddev_samp({0}) * sqrt(252) ELSE 0 END"
+
+
+@register(
+    "purged_validation",
+    f"""WITH {_PANEL}, p AS (SELECT symbol, sign(momentum) * forward AS pnl, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n
+        FROM panel WHERE momentum IS NOT NULL AND forward IS NOT NULL),
+    g AS (SELECT unnest(range(6)) AS g), s AS (SELECT (row_number() OVER (ORDER BY a.g, b.g) - 1)::INT AS split, a.g AS a, b.g AS b FROM g a JOIN g b ON a.g < b.g),
+    x AS (SELECT symbol, split, pnl, i, n * a // 6 AS a0, n * (a + 1) // 6 AS a1, n * b // 6 AS b0, n * (b + 1) // 6 AS b1 FROM p CROSS JOIN s),
+    y AS (SELECT symbol, split, CASE WHEN NOT (i >= a0 - 5 AND i < a1 + 5) AND NOT (i >= b0 - 5 AND i < b1 + 5) THEN pnl END AS inside, CASE WHEN (i >= a0 AND i < a1) OR (i >= b0 AND i < b1) THEN pnl END AS held FROM x)
+    SELECT symbol, split, round({_SHARPE.format("inside")}, 6) AS is_sharpe, round({_SHARPE.format("held")}, 6) AS oos_sharpe FROM y GROUP BY 1, 2""",
+)
 def purged_validation(spark, sf_dir):
-    p = numbered(panel(spark, sf_dir).where("symbol = 'AF' AND momentum IS NOT NULL AND forward IS NOT NULL"), ["symbol"], ["date"], "date", 86_400 * 365)
-    n = p.count()
-    return rounded(extras.purged_scores(p.withColumn("pnl", F.signum("momentum") * F.col("forward")), "pnl", "_n", n, 6, 2, 5))
+    p = numbered(panel(spark, sf_dir).where("momentum IS NOT NULL AND forward IS NOT NULL"), ["symbol"], ["date"], "date", 86_400 * 365)
+    return rounded(extras.purged_scores(p.withColumn("pnl", F.signum("momentum") * F.col("forward")), "pnl", "_n", ["symbol"], 6, 2, 5))
 
 
 @register("trailing_losses", f"WITH {_PANEL}, k AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM panel) SELECT symbol, coalesce(min(k) FILTER (NOT coalesce(ret < 0, false)), count(*) + 1) - 1 AS trailing_losses FROM k GROUP BY 1")

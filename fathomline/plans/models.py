@@ -18,8 +18,7 @@ def greedy_selection(spark, sf_dir):
 
 @register("gap_statistic")
 def gap_statistic(spark, sf_dir):
-    x = models.sampled(read(spark, sf_dir, "embeddings"), "embedding", 200)
-    return rounded(spark.createDataFrame(models.gap_statistic(x, 4, 3), "k int, gap double, error double"), 4)
+    return rounded(models.gap_by_rows(read(spark, sf_dir, "embeddings"), "embedding"), 4)
 
 
 @register("coherence")

@@ -97,7 +97,7 @@ def mutual_information_binned(spark, sf_dir):
 
 @register("mutual_information_ksg")
 def mutual_information_ksg(spark, sf_dir):
-    return rounded(stats.ksg_by_key(panel(spark, sf_dir), "momentum", "forward", "symbol", 800, 10))
+    return rounded(stats.ksg_by_key(panel(spark, sf_dir), "momentum", "forward", "symbol"))
 
 
 @register(

@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline import schema
 from fathomline.operators import book
 
-#: Directories are named YYYY-MM-DD, with a suffix or without.
-DATE = r"(?:^|/)(\d{4}-\d{2}-\d{2})[^/]*/[^/]*$"
+#: Directories are named YYYY-MM-DD, with a suffix or without, or dt=YYYY-MM-DD as the writer does.
+DATE = r"(?:^|/)(?:dt=)?(\d{4}-\d{2}-\d{2})[^/]*/[^/]*$"
+
+
+def dated_folders(spark: SparkSession, root: str) -> dict[str, str]:
+    """The dated directories right below ``root`` and their dates, by Hadoop's file system: one listing, no file is opened."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    names = sorted(s.getPath().toString() for s in found if s.isDirectory())
+    return {n: m[1] for n in names if (m := re.search(DATE, f"{n}/x"))}
 
 
 def feature_table(spark: SparkSession, root: str, symbols: list[str] | None = None, start: str | None = None, end: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """The feature table below ``root``, its dated directories read together: schemas merged, unreadable files skipped.
 
-    Filters on symbol, date and columns reach the scan; ``dt`` is the directory's date. Timestamp and symbol are always
-    kept. Rows come in no order; sort where they leave.
+    Directories outside the dates aren't listed or opened; filters on symbol and columns reach the scan. ``dt`` is the
+    directory's date, null for files outside of dated ones. Timestamp and symbol are always kept. Rows come in no order;
+    sort where they leave.
     """
-    df = spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").parquet(root)
-    df = df.withColumn("dt", F.to_date(F.regexp_extract(F.col("_metadata.file_path"), DATE, 1)))
+    dated = dated_folders(spark, root) if start or end else {}
+    wanted = [n for n, d in dated.items() if (not start or d >= start) and (not end or d <= end)]
+    df = spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").parquet(*(wanted or [root]))
+    df = df.withColumn("dt", F.try_to_date(F.regexp_extract(F.col("_metadata.file_path"), DATE, 1)))
     if symbols:
         df = df.where(F.col("symbol").isin(symbols))
     if start:

@@ -178,7 +178,15 @@ def test_feature_table_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1_704_067_200_000_000_000 + i * 10**9, "AB"[i % 2], i, float(i)) for i in range(10)], "timestamp_ns long, symbol string, sequence_id long, raw_midprice double")
     root = str(tmp_path / "t")
     writers.write_features(df, root)
-    back = spark.read.parquet(root)
+    assert readers.feature_table(spark, root, ["A"], columns=["raw_midprice"]).count() == 5
+    some = readers.feature_table(spark, root, start="2024-01-01", end="2024-01-01")
+    assert some.count() == 10 and {str(r.dt) for r in some.select("dt").distinct().collect()} == {"2024-01-01"}
+    assert readers.feature_table(spark, root, start="2024-01-02").count() == 0
+    assert readers.feature_table(spark, root, end="2023-12-31").count() == 0
+    writers.write_features(df.withColumn("timestamp_ns", F.col("timestamp_ns") + 86_400 * 10**9), root)
+    later = readers.feature_table(spark, root, start="2024-01-02")
+    assert later.count() == 10 and all("dt=2024-01-02" in f for f in later.inputFiles())
+    back = spark.read.parquet(root).where("dt = '2024-01-01'")
     assert set(schema.features().fieldNames()) <= set(back.columns) and back.where("isnan(flow_vwap)").count() == 10
     df.write.parquet(str(tmp_path / "dated" / "2024-01-02-x"))
     df.withColumn("extra", F.lit(1)).write.parquet(str(tmp_path / "dated" / "2024-01-03"))
@@ -330,3 +338,34 @@ def test_bands_and_maker():
     assert np.allclose(models.band_passed(slow + fast, 0.1, 0.5), fast, atol=1e-6)
     out = models.touch_maker(np.array([100.0, 98, 100, 98, 100, 102, 100]), 0.01, every=10)
     assert out == {"fills": 3.0, "inventory": 1.0, "pnl": pytest.approx(3.0)} and models.touch_maker(np.array([]), 0.01)["pnl"] == 0
+
+
+def test_fits_over_all_rows(spark):
+    """Sums over partitions give what the fits in memory give."""
+    rng = np.random.default_rng(4)
+    seqs = [rng.integers(0, 3, rng.integers(2, 30)) for _ in range(20)]
+    df = spark.createDataFrame([(k, i, int(x)) for k, s in enumerate(seqs) for i, x in enumerate(s)], "k int, i int, s int").repartition(3)
+    for a, b in zip(discovery.fit_hmm(df, ["k"], "i", "s", 2, 3, rounds=3), discovery.baum_welch(seqs, 2, 3, rounds=3)):
+        assert np.allclose(a, b)
+    x = np.vstack([rng.normal(0, 1, (200, 2)), rng.normal(8, 1, (200, 2))])
+    points = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double").repartition(3)
+    m = regime.fit_mixture_rows(points, ["a", "b"], 2)
+    centres = sorted((m.means * m.scale + m.mean)[:, 0])
+    assert abs(centres[0]) < 0.5 and abs(centres[1] - 8) < 0.5
+    g = {r.k: r.gap for r in models.gap_by_rows(points.select(F.array("a", "b").alias("v")), "v", 3, 4).collect()}
+    assert set(g) == {1, 2, 3} and g[2] > g[1] + 0.5
+
+
+@pytest.mark.parametrize("gap", [1, 30, 600])
+def test_episodes_run_on_over_cuts(spark, gap):
+    rng = random.Random(gap)
+    rows = sorted((rng.randrange(0, 6000) + (86_400 - 3000), rng.choice("abc")) for _ in range(300))
+    got = discovery.lead_lag(spark.createDataFrame([(k, t) for t, k in rows], "k string, t long").select("k", F.timestamp_seconds("t").alias("ts")), "k", "ts", gap)
+    anchor, seen, out = None, set(), {}
+    for t, k in rows:
+        if anchor is None or t - anchor > gap:
+            anchor, seen = t, set()
+        if k not in seen:
+            out.setdefault(k, []).append((not seen, t - anchor))
+            seen.add(k)
+    assert {r.k: (r.episodes, r.led, round(r.mean_delay_s, 9)) for r in got.collect()} == {k: (len(v), sum(a for a, _ in v), round(sum(d for _, d in v) / len(v), 9)) for k, v in out.items()}
