@@ -4,20 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from fathomline.functions.numeric import ratio
-from fathomline.functions.windows import drop_halo, numbered, rows, sequenced
+from fathomline.functions.windows import drop_halo, numbered, row_sum, rows, running, sequenced
 from fathomline.operators.tape import with_direction
 
 
-def _slope(y: Column, x: Column, w) -> Column:
-    """cov(y, x) / var(x), 0 where x doesn't vary."""
-    v = F.var_pop(x).over(w)
-    return F.when(v > 1e-12, F.covar_pop(y, x).over(w) / v).otherwise(0.0)
-
-
 def lambdas(trades: DataFrame, n: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Over the last n trades: Kyle (|slope| of price changes on signed volume, from 30 trades on), Amihud (sum of
     |returns| over sum of volumes, times 1e6, from 20 on), Hasbrouck (|slope| of returns on signed volume, times 1e6, from
@@ -27,19 +23,27 @@ def lambdas(trades: DataFrame, n: int, keys: tuple[str, ...] = ("symbol",)) -> D
     before = F.lag("price").over(rows(k))
     df = df.withColumn("_d", F.col("price") - before).withColumn("_r", F.when(before > 0, F.col("price") / before - 1))
     df = df.withColumn("_dd", F.col("_d") * F.lag("_d").over(rows(k))).withColumn("_sv", F.when(F.col("_d").isNotNull(), F.col("size") * F.col("direction")))
-    w = rows(k, n - 2)
+    # Running sums over the bucket; a frame's sums are differences of these.
+    d, r, sv = F.col("_d"), F.col("_r"), F.col("_sv")
+    has = r.isNotNull()
+    parts = {"d_n": d.isNotNull().cast("double"), "d": d, "s": sv, "ss": sv * sv, "ds": d * sv, "r_n": has.cast("double"), "r": r, "rs": r * sv, "s_r": F.when(has, sv), "abs": F.abs(r), "size": F.when(has, F.col("size")), "dd_n": F.col("_dd").isNotNull().cast("double"), "dd": F.col("_dd")}
+    df = df.withColumns({f"_sum_{c}": F.sum(F.coalesce(x, F.lit(0.0))).over(running(k)) for c, x in parts.items()})
+    df = df.withColumns({f"_w_{c}": row_sum(f"_sum_{c}", k, n - 2 if c.startswith("dd") else n - 1) for c in parts})
+    g = lambda c: F.col(f"_w_{c}")
+    variance = g("ss") / F.nullif(g("d_n"), F.lit(0.0)) - F.pow(g("s") / F.nullif(g("d_n"), F.lit(0.0)), F.lit(2))
+    slope = lambda xy, x, y, m: F.when(variance > 1e-12, (xy / F.nullif(m, F.lit(0.0)) - x / F.nullif(m, F.lit(0.0)) * (y / F.nullif(m, F.lit(0.0)))) / variance).otherwise(0.0)
     from_ = lambda least, x: F.when(F.col("_n") >= least - 1, x).otherwise(0.0)
-    roll = F.avg("_dd").over(rows(k, n - 3))
+    roll = g("dd") / F.nullif(g("dd_n"), F.lit(0.0))
     df = df.withColumns(
         {
-            f"illiq_kyle_{n}": from_(30, F.abs(_slope(F.col("_d"), F.col("_sv"), w))),
-            f"illiq_amihud_{n}": from_(20, 1e6 * ratio(F.sum(F.abs("_r")).over(w), F.sum(F.when(F.col("_r").isNotNull(), F.col("size"))).over(w))),
-            f"illiq_hasbrouck_{n}": from_(50, 1e6 * F.abs(_slope(F.col("_r"), F.col("_sv"), w))),
-            f"illiq_roll_{n}": F.when(roll < 0, 2 * F.sqrt(-roll)).otherwise(0.0),
+            f"illiq_kyle_{n}": from_(30, F.abs(slope(g("ds"), g("d"), g("s"), g("d_n")))),
+            f"illiq_amihud_{n}": from_(20, 1e6 * ratio(g("abs"), g("size"))),
+            f"illiq_hasbrouck_{n}": from_(50, 1e6 * F.abs(slope(g("rs"), g("r"), g("s_r"), g("r_n")))),
+            f"illiq_roll_{n}": F.when(roll < -1e-12, 2 * F.sqrt(-roll)).otherwise(0.0),
         }
     )
     df = df.withColumn(f"illiq_composite_{n}", (F.col(f"illiq_kyle_{n}") + F.col(f"illiq_amihud_{n}") + F.col(f"illiq_hasbrouck_{n}")) / 3)
-    return drop_halo(df).drop("_n", "_d", "_r", "_dd", "_sv")
+    return drop_halo(df).drop("_n", "_d", "_r", "_dd", "_sv", *[f"_sum_{c}" for c in parts], *[f"_w_{c}" for c in parts])
 
 
 def spreads(trades: DataFrame, n: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -50,17 +54,42 @@ def spreads(trades: DataFrame, n: int, keys: tuple[str, ...] = ("symbol",)) -> D
     df = sequenced(with_direction(trades, keys), k, ["ts", "tid"], "ts", n + 6)
     before, ago = F.lag("price").over(rows(k)), F.lag("price", 5).over(rows(k))
     df = df.withColumn("_e", F.col("price") - before).withColumn("_adv", F.lag("direction", 5).over(rows(k)) * (F.col("price") / ago - 1) * 1e4)
-    w = rows(k, n - 1)
-    df = df.withColumn("_prices", F.collect_list("price").over(w)).withColumn("_vwap", ratio(F.sum(F.col("price") * F.col("size")).over(w), F.sum("size").over(w), None))
+    p, z, way = F.col("price"), F.col("size"), F.col("direction")
+    parts = {"z": z, "e_n": F.col("_e").isNotNull().cast("double"), "e": way * F.col("_e"), "adv_n": F.col("_adv").isNotNull().cast("double"), "adv": F.col("_adv"), "flow": way * z}
+    df = df.withColumns({f"_sum_{c}": F.sum(F.coalesce(x.cast("double"), F.lit(0.0))).over(running(k)) for c, x in parts.items()})
+    df = df.withColumns({f"_w_{c}": row_sum(f"_sum_{c}", k, n - 5 if c.startswith("adv") else n) for c in parts})
+    g = lambda c: F.col(f"_w_{c}")
+    df = with_distance(df, "price", "size", k, n)
     df = df.withColumns(
         {
-            "toxic_effective_spread": 2 * F.aggregate("_prices", F.lit(0.0), lambda s, x: s + F.abs(x - F.col("_vwap"))) / F.size("_prices"),
-            "toxic_realized_spread": 2 * F.avg(F.col("direction") * F.col("_e")).over(w),
-            "toxic_adverse_selection": F.avg("_adv").over(rows(k, n - 6)),
-            "toxic_flow_imbalance": ratio(F.sum(F.col("direction") * F.col("size")).over(w), F.sum("size").over(w)),
+            "toxic_effective_spread": 2 * F.col("_distance"),
+            "toxic_realized_spread": 2 * g("e") / F.nullif(g("e_n"), F.lit(0.0)),
+            "toxic_adverse_selection": g("adv") / F.nullif(g("adv_n"), F.lit(0.0)),
+            "toxic_flow_imbalance": ratio(g("flow"), g("z")),
         }
     )
-    return drop_halo(df).drop("_n", "_e", "_adv", "_prices", "_vwap")
+    return drop_halo(df).drop("_n", "_e", "_adv", "_distance", *[f"_sum_{c}" for c in parts], *[f"_w_{c}" for c in parts])
+
+
+def with_distance(df: DataFrame, value: str, weight: str, keys: list[str], n: int) -> DataFrame:
+    """``df`` (from ``row_halo``) with ``_distance``: the mean of |value - weighted mean| over the last ``n`` rows, by one pass
+    over each bucket's rows; null where the weights add up to nothing."""
+    schema = StructType([*df.schema.fields, StructField("_distance", DoubleType())])
+    # One value after another, as an aggregate adds them, so that results agree to the last bit.
+    added = lambda v: np.cumsum(np.nan_to_num(v, nan=0.0), axis=1)[:, -1]
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_n")
+        x, w = (np.concatenate((np.full(n - 1, np.nan), table.column(c).cast("double").to_numpy())) for c in (value, weight))
+        out = np.empty(table.num_rows)
+        for i in range(0, len(out), 4096):
+            xs, ws = (np.lib.stride_tricks.sliding_window_view(v[i : i + 4096 + n - 1], n) for v in (x, w))
+            total = added(ws)
+            centre = added(xs * ws) / np.where(total == 0, np.nan, total)
+            out[i : i + 4096] = np.where(total == 0, np.nan, added(np.abs(xs - centre[:, None])) / np.maximum((~np.isnan(xs)).sum(axis=1), 1))
+        return table.append_column("_distance", pa.array(out, from_pandas=True))
+
+    return df.groupBy(*keys, "_bucket").applyInArrow(one, schema)
 
 
 def vpin(size: np.ndarray, direction: np.ndarray, buckets: int) -> float:

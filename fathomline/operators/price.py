@@ -6,8 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from fathomline.functions.numeric import clip, plogp, ratio, zscore
 from fathomline.functions.windows import drop_halo, row_sum, rows, running, sequenced
@@ -89,10 +91,30 @@ def monotonicity(k: list[str], n: int) -> Column:
     return ratio(F.greatest(up, down), up + down, 0.5)
 
 
-def seeded_ema(values: Column, period: int) -> Column:
-    """EMA over an array, alpha 2 / (period + 1), seeded with its first element."""
-    a = 2 / (period + 1)
-    return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.get(values, F.lit(0)), lambda s, x: a * x + (1 - a) * s)
+def seeded_ema(x: np.ndarray, period: int, buffer: int) -> np.ndarray:
+    """For each place the EMA (alpha 2 / (period + 1)) over the last ``buffer`` values, seeded with the first of these."""
+    q = 1 - 2 / (period + 1)
+    weights = (1 - q) * q ** np.arange(buffer)
+    weights[-1] = q ** (buffer - 1)
+    out = np.convolve(x, weights)[: len(x)]
+    # Before the buffer is full, the first value has the weight of all that would come before it.
+    some = np.arange(min(buffer - 1, len(x)))
+    out[some] += (q ** some - weights[some]) * x[0] if len(x) else 0.0
+    return out
+
+
+def with_emas(df: DataFrame, price: str, keys: list[str], periods: dict[str, int], buffer: int) -> DataFrame:
+    """``df`` (from ``row_halo``) with a column for each period, by one pass over each bucket's rows."""
+    schema = StructType([*df.schema.fields, *[StructField(c, DoubleType()) for c in periods]])
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_n")
+        x = table.column(price).cast("double").to_numpy()
+        for c, period in periods.items():
+            table = table.append_column(c, pa.array(seeded_ema(x, period, buffer)))
+        return table
+
+    return df.groupBy(*keys, "_bucket").applyInArrow(one, schema)
 
 
 def trend_block(df: DataFrame, windows: tuple[int, ...] = (60, 300), ema_buffer: int = 300, least: int = 20, price: str = "price", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -110,10 +132,10 @@ def trend_block(df: DataFrame, windows: tuple[int, ...] = (60, 300), ema_buffer:
                 f"trend_monotonicity_{n}": F.when(enough, monotonicity(k, n)).otherwise(0.5),
             }
         )
-    df = df.withColumn("_buffer", F.collect_list(price).over(rows(k, ema_buffer - 1)))
-    df = df.withColumn("trend_ema_short", F.when(enough, seeded_ema(F.col("_buffer"), 10)).otherwise(0.0)).withColumn("trend_ema_long", F.when(enough, seeded_ema(F.col("_buffer"), 50)).otherwise(0.0))
+    df = with_emas(df, price, k, {"_ema_short": 10, "_ema_long": 50}, ema_buffer)
+    df = df.withColumn("trend_ema_short", F.when(enough, F.col("_ema_short")).otherwise(0.0)).withColumn("trend_ema_long", F.when(enough, F.col("_ema_long")).otherwise(0.0))
     df = df.withColumn("trend_crossover", F.col("trend_ema_short") - F.col("trend_ema_long")).withColumn("trend_crossover_norm", 100 * ratio("trend_crossover", "trend_ema_long"))
-    return drop_halo(df).drop("_n", "ret", "_buffer", "_x", "_y", "_y1", "_y2", "_xy", "_up", "_down")
+    return drop_halo(df).drop("_n", "ret", "_ema_short", "_ema_long", "_x", "_y", "_y1", "_y2", "_xy", "_up", "_down")
 
 
 def permutation_entropy(df: DataFrame, n: int, order: int = 3, value: str = "ret", price: str = "price", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
