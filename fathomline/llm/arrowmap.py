@@ -1,11 +1,13 @@
 """Row-wise Python over Arrow batches, with memory bounded by bytes and not by rows.
 
-Spark cuts batches by its own settings (``spark.sql.execution.arrow.maxBytesPerBatch`` and ``maxRecordsPerBatch``), which
-are left as the session has them; functions get slices of these.
+Spark cuts batches by the session's settings (``spark.sql.execution.arrow.maxBytesPerBatch`` and ``maxRecordsPerBatch``,
+the latter smaller while ``common.written`` writes); functions get slices of these. Freed memory goes back to the system
+after each batch: workers are reused, and an idle one would otherwise keep the most that it has ever held.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +17,14 @@ from pyspark.sql import DataFrame
 SLICE_BYTES = 2 << 20
 
 
+def release() -> None:
+    """Give memory that is allocated but free back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other libraries don't
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
     """The batches in slices of ``SLICE_BYTES`` of the text column, in order, all rows."""
     for batch in batches:
@@ -24,6 +34,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBa
         rows = max(1, int(n * min(1.0, SLICE_BYTES / max(1, batch.column(text).nbytes))))
         for i in range(0, n, rows):
             yield batch.slice(i, rows)
+        del batch
+        release()
 
 
 def map_texts(df: DataFrame, function: Callable, schema: str, text: int = 1) -> DataFrame:
