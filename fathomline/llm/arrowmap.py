@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fathomline.llm.common import WordHashes
+
 #: A batch handed to a function holds at most so many bytes of text, but one row at least.
 SLICE_BYTES = 2 << 20
 
@@ -36,6 +38,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBa
             yield batch.slice(i, rows)
         del batch
         release()
+    WordHashes.forget()
+    release()
 
 
 def map_texts(df: DataFrame, function: Callable, schema: str, text: int = 1) -> DataFrame:

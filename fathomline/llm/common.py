@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -20,7 +21,18 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
-    """64-bit hashes of words (str or bytes); emptied when it has grown to its bound."""
+    """64-bit hashes of words (str or bytes); emptied when it has grown to its bound, and between tasks."""
+
+    made: weakref.WeakValueDictionary[int, WordHashes] = weakref.WeakValueDictionary()
+
+    def __init__(self):
+        super().__init__()
+        self.made[id(self)] = self
+
+    @classmethod
+    def forget(cls) -> None:
+        for hashes in list(cls.made.values()):
+            hashes.clear()
 
     def __missing__(self, word: str | bytes) -> int:
         if len(self) >= 200_000:

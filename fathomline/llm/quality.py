@@ -209,11 +209,9 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A field from a bounded sample of labelled rows: the ``docs`` ids with the smallest hashes, whole texts,
     at most ``most_bytes`` in all. Null labels and labels other than 0 and 1 are left out."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-    picks = known.orderBy(F.xxhash64("id"), "id").limit(docs).collect()
-    if not picks:
-        return train([])
-    some = df.sparkSession.createDataFrame(picks, known.schema)
-    texts = df.select(df[id_col].alias("id"), df[text_col].alias("text")).join(F.broadcast(some), "id")
+    # A table and not rows from the driver, which would start Python workers of their own on each executor.
+    picks = written(known.orderBy(F.xxhash64("id"), "id").limit(docs), "quality-picks")
+    texts = df.select(df[id_col].alias("id"), df[text_col].alias("text")).join(F.broadcast(picks), "id")
     out, size = [], 0
     # written first, so that going through them on the driver starts no second scan
     for r in written(texts, "quality-sample").orderBy(F.xxhash64("id"), "id").toLocalIterator():
