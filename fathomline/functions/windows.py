@@ -18,12 +18,12 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
 
 
-def time_halo(df: DataFrame, ts: str, back_seconds: int, ahead_seconds: int = 0, bucket_seconds: int | None = None) -> DataFrame:
+def time_halo(df: DataFrame, ts: str, back_seconds: float, ahead_seconds: float = 0, bucket_seconds: float | None = None) -> DataFrame:
     """``df`` with ``_bucket`` and ``_own``: each row once in its own bucket, and as halo in those whose frames reach it."""
-    size = (bucket_seconds or max(4 * (back_seconds + ahead_seconds), 86_400)) * MICROS
+    size = round((bucket_seconds or max(4 * (back_seconds + ahead_seconds), 86_400)) * MICROS)
     at = micros(ts)
-    first = F.floor((at - ahead_seconds * MICROS) / size)
-    last = F.floor((at + back_seconds * MICROS) / size)
+    first = F.floor((at - round(ahead_seconds * MICROS)) / size)
+    last = F.floor((at + round(back_seconds * MICROS)) / size)
     return df.withColumn("_bucket", F.explode(F.sequence(first, last))).withColumn("_own", F.col("_bucket") == F.floor(at / size))
 
 
@@ -74,17 +74,17 @@ def sequenced(df: DataFrame, keys: list[str], order: list[str], ts: str, back: i
     return row_halo(numbered(df, keys, order, ts), back, ahead)
 
 
-def time_sums(df: DataFrame, keys: list[str], ts: str, sums: dict[str, Column], seconds: dict[str, int]) -> DataFrame:
+def time_sums(df: DataFrame, keys: list[str], ts: str, sums: dict[str, Column], seconds: dict[str, float], bucket_seconds: float | None = None) -> DataFrame:
     """``df`` with ``{name}_{label}``: each named Column summed over the last ``seconds`` of each label, both ends included.
 
     A sliding frame would add up its rows again for every row. Here each row is put in twice or more, once with its
     values and once for each label with the negative ones just after they leave the frame, and running sums over that
-    stream give all frames in one pass. Nulls count as zero.
+    stream give all frames in one pass. Nulls count as zero. A summed Column may refer to ``_bucket``, of ``bucket_seconds``.
     """
-    d = time_halo(df.withColumn("_v", F.struct(*[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in sums.items()])), ts, max(seconds.values()))
+    d = time_halo(df, ts, max(seconds.values()), bucket_seconds=bucket_seconds).withColumn("_v", F.struct(*[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in sums.items()]))
     t = 2 * micros(ts)
     # kind 0 enters all frames; kind k leaves frame k, after what enters at the same time.
-    moves = [F.struct(t.alias("t"), F.lit(0).alias("kind"))] + [F.struct((t + 2 * s * MICROS + 1).alias("t"), F.lit(k).alias("kind")) for k, s in enumerate(seconds.values(), 1)]
+    moves = [F.struct(t.alias("t"), F.lit(0).alias("kind"))] + [F.struct((t + 2 * round(s * MICROS) + 1).alias("t"), F.lit(k).alias("kind")) for k, s in enumerate(seconds.values(), 1)]
     row = F.struct(*[F.col(c) for c in df.columns])
     stream = d.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_bucket", "_v", F.when(F.col("_own"), row).alias("_row"), F.explode(F.array(*moves)).alias("_m")).select("*", "_m.*")
     w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))], "_bucket").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions.numeric import plogp, ratio
-from fathomline.functions.windows import drop_halo, micros, rows, sequenced, time_frame, time_halo, time_sums
+from fathomline.functions.windows import MICROS, drop_halo, micros, rows, sequenced, time_sums
 
 
 def with_direction(trades: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -79,13 +79,30 @@ def tick_entropies(trades: DataFrame, windows: dict[str, int], keys: tuple[str,
 
 def hawkes_block(trades: DataFrame, seconds: int = 30, kick: float = 0.5, decay: float = 1.0, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Fixed-kernel self-excitation: base rate n / seconds, excitation sum of kick * exp(-decay * age) over the frame, and
-    their ratio; zeros for fewer than two trades. The sum is exact: ages are taken within the frame of each trade."""
-    k = list(keys)
-    df = time_halo(trades, "ts", seconds)
-    now = micros("ts") / 1e6
-    ages = F.collect_list(micros("ts") / 1e6).over(time_frame(k, "ts", seconds))
-    df = df.withColumn("_times", ages).withColumn("_now", now)
-    excitation = F.aggregate("_times", F.lit(0.0), lambda s, x: s + kick * F.exp(-decay * (F.col("_now") - x)))
-    n = F.size("_times")
+    their ratio; zeros for fewer than two trades.
+
+    exp(-decay * age) is a quotient of weights that grow with time, exp(decay * time since the bucket began), so the
+    excitation is a sliding sum of weights over the trade's own. Later weights are the larger, so what rounding leaves of
+    trades that are gone is small beside the trade's own. Buckets are short enough for weights to stay finite.
+    """
+    if not 0 <= decay < 1e6:
+        raise ValueError("decay is from 0 to a million a second")
+    k, bucket, reach = list(keys), max(4 * seconds, 86_400), seconds
+    if decay:
+        # Beyond 746 / decay a kernel of doubles is zero.
+        bucket, reach = min(bucket, 600 / decay), min(seconds, 746 / decay)
+    size = round(bucket * MICROS)
+
+    def weight(cell: Column) -> Column:
+        return F.exp(F.lit(float(decay)) * (micros("ts") - cell * size) / MICROS)
+
+    count, weights = {"_n": F.lit(1)}, {"_w": weight(F.col("_bucket"))}
+    if bucket >= seconds:
+        df = time_sums(trades, k, "ts", count | weights, {"all": seconds, "near": reach}, bucket)
+    else:  # a halo of many buckets for the few that are counted
+        df = time_sums(time_sums(trades, k, "ts", count, {"all": seconds}), k, "ts", weights, {"near": reach}, bucket)
+    n, sum_ = F.col("_n_all"), F.col("_w_near")
+    excitation = kick * sum_ / weight(F.floor(micros("ts") / size))
     df = df.withColumn("hawkes_mu", F.when(n >= 2, n / seconds).otherwise(0.0)).withColumn("hawkes_excitation", F.when(n >= 2, excitation).otherwise(0.0))
-    return drop_halo(df.withColumn("hawkes_branching", ratio("hawkes_excitation", "hawkes_mu"))).drop("_times", "_now")
+    df = df.withColumn("hawkes_branching", ratio("hawkes_excitation", "hawkes_mu"))
+    return df.select(*trades.columns, "hawkes_mu", "hawkes_excitation", "hawkes_branching")

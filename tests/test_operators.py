@@ -57,6 +57,30 @@ def test_empty_tape(spark, tape):
     assert t.flow_block(none).count() == 0 and price.trend_block(none).count() == 0 and liquidity.lambdas(none, 100).count() == 0
 
 
+@pytest.mark.parametrize(("seconds", "decay"), [(3600, 0.0005), (7200, 0.02), (3600, 0.0), (40_000, 0.5), (5000, 3000.0)])
+def test_hawkes_equals_its_definition(spark, tape, seconds, decay):
+    from fathomline.operators import tape as t
+
+    # Trades at one time see each other.
+    both = tape.union(tape.where("tid % 7 = 0").withColumn("tid", F.col("tid") + 10_000)).union(tape.where("tid % 5 = 0").selectExpr("tid + 20000", "ts + INTERVAL 500 MICROSECONDS", "symbol", "price", "size", "is_buy"))
+    rows = both.toPandas()
+    at = rows.ts.astype("datetime64[us]").astype("int64").to_numpy()
+    got = t.hawkes_block(both, seconds, decay=decay).toPandas().set_index("tid")
+    assert len(got) == len(rows)
+    for i in range(0, len(rows), 3):
+        ages = (at[i] - at[(rows.symbol == rows.symbol[i]).to_numpy() & (at <= at[i]) & (at >= at[i] - seconds * 10**6)]) / 1e6
+        n, row = len(ages), got.loc[rows.tid[i]]
+        assert row.hawkes_mu == pytest.approx(n / seconds if n >= 2 else 0.0)
+        assert row.hawkes_excitation == pytest.approx(0.5 * np.exp(-decay * ages).sum() if n >= 2 else 0.0, rel=1e-11)
+
+
+def test_hawkes_forms_no_list_of_ages(tape):
+    from fathomline.operators import tape as t
+
+    plan = t.hawkes_block(tape, 3600, decay=0.0005)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "aggregate(" not in plan
+
+
 def test_vpin_by_hand():
     size, side = np.array([5.0, 5, 5, 5]), np.array([1, 1, -1, -1])
     assert liquidity.vpin(size, side, 2) == 1.0 and liquidity.vpin(size, np.array([1, -1, 1, -1]), 2) == 0.0
