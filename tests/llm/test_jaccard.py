@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from fathomline.llm import jaccard
+from fathomline.llm import jaccard, simhash
 
 
 def brute(rows, width, threshold):
@@ -66,3 +67,41 @@ def test_pipeline_stage_drops_near_copies(spark):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
     out = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in out.collect()) == list(range(0, 40, 2))
+
+
+def test_set_fingerprints_by_definition():
+    def extended(h, k):
+        x = (h + k * 0x9E3779B97F4A7C15) % 2**64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return (x ^ x >> 31).to_bytes(8, "little")
+
+    r = random.Random(3)
+    for n in (0, 1, 2, 255, 256, 5000):
+        hashes = [r.getrandbits(64) for _ in range(n)]
+        rows = [b"".join(extended(h, k) for k in range(1, simhash.WORDS + 1)) for h in hashes]
+        want = [sum(row[i] >> 7 - b & 1 for row in rows) * 2 > n for i in range(8 * simhash.WORDS) for b in range(8)]
+        got = simhash.set_fingerprint(np.array(hashes, np.uint64).view(np.int64))
+        assert np.unpackbits(got).astype(bool).tolist() == want
+        values = simhash.cells(np.array(hashes, np.uint64).view(np.int64))
+        assert values.tolist() == [int.from_bytes(got[i : i + 3].tobytes(), "little") for i in range(0, 126, 3)]
+
+
+@pytest.mark.parametrize("full", [4, 1000])
+def test_cells_and_prefixes_give_the_components_of_all_pairs(spark, full, monkeypatch):
+    monkeypatch.setattr(jaccard, "FULL", full)
+    rows = family_rows()
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), cells=simhash.cells).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(rows, 5, 0.8)
+
+
+def test_pipeline_stage_links_by_fingerprints(spark, monkeypatch):
+    """Without prefixes, the segments of fingerprints find near copies: 20 of similarity 0.95."""
+    monkeypatch.setattr(jaccard, "_prefix", lambda n, threshold: 0)
+    rows = []
+    for k in range(20):
+        r = random.Random(k)
+        words = [f"v{r.randrange(5000)}" for _ in range(200)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:100], "changed", *words[101:]]))]
+    out = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in out.collect()) == list(range(0, 40, 2))
