@@ -312,3 +312,15 @@ def test_language_frames(spark):
     assert all(out[i].lang_pred == "und" and out[i].score == 0 for i in (200, 201, 202, 203))
     nothing = langid.learn(df.limit(0))
     assert {r.lang_pred for r in langid.predict(df, nothing).collect()} == {"und"}
+
+
+def test_pipeline_gives_heap_back(spark):
+    """Before its Python workers start, a stage has executors collect their whole heap."""
+    import corpus_pipeline
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    done = lambda: sum(b.getCollectionCount() for b in beans if not re.search("Young|Scavenge|Copy|ParNew", b.getName()))
+    few = docs(spark, [(1, "a b")])
+    before = done()
+    assert corpus_pipeline.token_stage(spark, few, "").count() == 1
+    assert done() > before
