@@ -105,3 +105,15 @@ def test_pipeline_stage_links_by_fingerprints(spark, monkeypatch):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:100], "changed", *words[101:]]))]
     out = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in out.collect()) == list(range(0, 40, 2))
+
+
+def test_a_large_group_is_dealt_to_several_tasks(spark):
+    """All pairs of leaders and members come once, from more than one partition."""
+    from pyspark.sql import functions as F
+
+    members = spark.range(500).select(F.lit(7).cast("long").alias("h"), F.col("id").alias("key"), F.lit(9).alias("n"), F.lit(0).alias("i"))
+    leaders = members.where("key < 2")
+    both = jaccard._for_all(leaders.select("h")).join(jaccard._salted(members), ["h", "salt"])
+    assert both.count() == 1000 and both.select("salt").distinct().count() == jaccard.SALTS
+    got = jaccard._pairs(leaders, members, 0.8, True).collect()
+    assert {tuple(r) for r in got} == {(a, b) for a in (0, 1) for b in range(a + 1, 500)} and len(got) == 997
