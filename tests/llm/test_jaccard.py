@@ -117,3 +117,26 @@ def test_a_large_group_is_dealt_to_several_tasks(spark):
     assert both.count() == 1000 and both.select("salt").distinct().count() == jaccard.SALTS
     got = jaccard._pairs(leaders, members, 0.8, True).collect()
     assert {tuple(r) for r in got} == {(a, b) for a in (0, 1) for b in range(a + 1, 500)} and len(got) == 997
+
+
+def test_rows_of_joins_grow_with_a_family_and_not_with_its_pairs(spark, monkeypatch):
+    """Of a family of near copies, what is linked isn't verified again, and each round of components gets a link a node
+    and those that are new."""
+    from pyspark.sql import functions as F
+
+    r, edges, links = random.Random(8), [], []
+    word = lambda: f"w{r.randrange(3000)}"
+    base = [word() for _ in range(300)]
+    texts = [list(base) for _ in range(240)]
+    for text in texts:
+        for _ in range(r.randrange(1, 7)):
+            text[r.randrange(len(text))] = word()
+    joined, verify = jaccard.components, jaccard._verified
+    monkeypatch.setattr(jaccard, "components", lambda found: edges.append(found.count()) or joined(found))
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *rest: links.append(verify(pairs, *rest)) or links[-1])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = jaccard.near_duplicates(df, cells=simhash.cells)
+    assert got.agg(F.count("doc_id"), F.max("component_id")).first() == (240, 0)
+    made = [found.count() for found in links]
+    assert sum(made) < 10 * 240, made
+    assert all(n < 240 + new for n, new in zip(edges, made, strict=True)), (edges, made)
